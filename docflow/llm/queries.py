@@ -14,6 +14,7 @@ from docflow.llm import oracles
 MODULES = {
     "op1_hilbert_shards": "hilbert",
     "op2_language_id": "language_id",
+    "op6_bpe_tree": "bpe_tree",
     "op8_exact_dedup": "digest_index",
     "op10_systematic_mix": "mixing",
 }
