@@ -14,6 +14,8 @@ from docflow.llm import oracles
 MODULES = {
     "op1_hilbert_shards": "hilbert",
     "op2_language_id": "language_id",
+    "op4_avi_media": "avi",
+    "op5_license_scan": "license_scan",
     "op6_bpe_tree": "bpe_tree",
     "op8_exact_dedup": "digest_index",
     "op10_systematic_mix": "mixing",
