@@ -17,6 +17,7 @@ MODULES = {
     "op4_avi_media": "avi",
     "op5_license_scan": "license_scan",
     "op6_bpe_tree": "bpe_tree",
+    "op7_lsh_forest": "lsh_forest",
     "op8_exact_dedup": "digest_index",
     "op10_systematic_mix": "mixing",
 }
