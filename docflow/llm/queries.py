@@ -19,6 +19,7 @@ MODULES = {
     "op6_bpe_tree": "bpe_tree",
     "op7_lsh_forest": "lsh_forest",
     "op8_exact_dedup": "digest_index",
+    "op9_token_store": "token_store",
     "op10_systematic_mix": "mixing",
 }
 
