@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm.arrow import map_rows, utf8
+from docflow.llm.filters import without_ids
+from docflow.llm.skew import join_groups
 from docflow.llm.staging import new_path, staged
 
-#: A digest that holds over one row in HOT of all is joined by broadcast: at most HOT such exist.
-HOT = 1000
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def text_digests(documents: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def deduplicate(documents: DataFrame, index: DigestIndex) -> DataFrame:
 
     Digests are staged once (about 70 bytes a row). The group table is made with map-side
     partial aggregation, so a group of any size costs one row per task. Rows take their group
-    back by a join on the digest, except for hot digests, of which there are at most ``HOT``.
+    back by a join on the digest, those of hot digests by a broadcast of bounded size.
     """
     digests = staged(text_digests(documents), "digests")
     rows = digests.count()
@@ -114,20 +116,34 @@ def deduplicate(documents: DataFrame, index: DigestIndex) -> DataFrame:
         groups = groups.withColumns({"_new": F.lit(True), "keep_id": F.col("batch_keep")})
     index.append(fresh.select("digest", F.col("batch_keep").alias("keep_id")))
     groups = groups.select("digest", "keep_id", "group_size", "_new")
-    hot = F.col("group_size") * HOT > rows
-    few = groups.filter(hot)
-    with_hot = digests.join(F.broadcast(few.select("digest", *[F.col(c).alias(f"_h{c}") for c in ("keep_id", "group_size", "_new")])), "digest", "left")
-    is_hot = F.col("_hgroup_size").isNotNull()
+    both = join_groups(digests, groups.select("digest", "keep_id", "group_size", "_new"), "digest", "group_size", rows)
     kept = F.col("_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    from_hot = with_hot.filter(is_hot).select("doc_id", "digest", F.col("_hkeep_id").alias("keep_id"), F.col("_hgroup_size").alias("group_size"), F.col("_h_new").alias("_new"))
-    cold = with_hot.filter(~is_hot).select("doc_id", "digest").join(groups.filter(~hot), "digest")
-    both = from_hot.unionByName(cold.select("doc_id", "digest", "keep_id", "group_size", "_new"))
     return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
+def new_index(spark: SparkSession) -> DigestIndex:
+    """An empty index in the shared folder, with a bucket for each shuffle partition."""
+    return DigestIndex(spark, new_path(spark, "digest-index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def drop_copies(documents: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """Documents with one row of each group of equal texts left; other columns stay as they are.
+
+    Where doc_id is unique and never null, copies are dropped by id and the texts that stay are
+    not shuffled. Else ids cannot tell rows apart, and one row of each digest is taken whole.
+    """
+    index = index or new_index(documents.sparkSession)
+    found = staged(deduplicate(documents, index), "verdicts")
+    rows, ids = found.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return without_ids(documents, found.filter(~F.col("kept")).select("doc_id"))
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), _UPPER, _UPPER.lower()), 256)
+    packed = documents.select(digest.alias("digest"), F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("_row"))
+    wanted = found.filter("kept").select("digest").distinct()
+    one = packed.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.coalesce(F.max_by("_row", "_id"), F.first("_row")).alias("_row"))
+    return one.select("_row.*")
+
+
 def op8_exact_dedup(documents: DataFrame) -> DataFrame:
     """All documents against a new index: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = documents.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = DigestIndex(spark, new_path(spark, "digest-index"), buckets)
-    return deduplicate(documents, index).withColumnRenamed("digest", "text_sha256")
+    return deduplicate(documents, new_index(documents.sparkSession)).withColumnRenamed("digest", "text_sha256")

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from docflow.llm.arrow import by_bytes, map_rows, utf8
 from docflow.llm.components import components
+from docflow.llm.filters import maybe_in, without_ids
 from docflow.llm.shingles import shingle_set, signatures
-from docflow.llm.skew import HOT, join_groups
+from docflow.llm.skew import join_groups
 from docflow.llm.staging import staged
 
 #: Deeper label levels after the head, one byte of a MinHash value each.
@@ -115,19 +116,6 @@ def forest_edges(reps: DataFrame, params: ForestParams) -> DataFrame:
     return pairs.filter(_agreement(F.col("label"), F.col("label2")) >= params.agree).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
 
-def _marked(documents: DataFrame, ids: DataFrame, bits_log2: int = 23) -> DataFrame:
-    """Documents whose id may be in ``ids``: a bit set by hash, of a fixed size, is broadcast.
-
-    The bit set has 2 ** 17 words of 64 bits at most, however many ids there are; it lets
-    through every id of ``ids`` and some others, and the join that follows decides.
-    """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits_log2))
-    word, bit = F.shiftright(place, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    words = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    found = documents.withColumns({"_word": word, "_own": bit}).join(F.broadcast(words), "_word")
-    return found.filter(F.col("_own").bitwiseAND(F.col("_bits")) != 0).drop("_word", "_own", "_bits")
-
-
 def _linked(ids: np.ndarray, sets: list[np.ndarray], first: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among sets, at least one end before ``first`` and one from it on; all if ``first`` is 0.
 
@@ -201,7 +189,8 @@ def cluster_links(documents: DataFrame, clusters: DataFrame, params: ForestParam
     many = placed.filter("blocks > 1").limit(1).count() > 0
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("rep", "cluster", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    texts = _marked(documents.select(F.col("doc_id").cast("long"), "text"), clusters.select(F.col("rep").alias("doc_id")))
+    # Only texts that the clusters' bit set lets through are read into sets and shuffled.
+    texts = maybe_in(documents.select(F.col("doc_id").cast("long"), "text"), clusters.select("rep"), "doc_id", "_maybe").filter("_maybe")
     out = pa.schema([("rep", pa.int64()), ("set", pa.binary())])
 
     def sets(batch: pa.RecordBatch) -> dict[str, list]:
@@ -257,3 +246,9 @@ def near_components(documents: DataFrame, params: ForestParams = ForestParams())
 
 def op7_lsh_forest(documents: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
     return near_components(documents, params)
+
+
+def drop_near_copies(documents: DataFrame, params: ForestParams = ForestParams(width=5)) -> DataFrame:
+    """Documents with one of each near-duplicate component left, the one of least doc_id."""
+    found = staged(near_components(documents, params), "components")
+    return without_ids(documents, found.filter(~F.col("kept")).select("doc_id").distinct())
