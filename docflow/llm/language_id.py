@@ -91,13 +91,23 @@ def kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def labelled_sample(labelled: DataFrame, params: KernelParams) -> DataFrame:
     """A bounded sample of (doc_id, text, lang): per language the rows of least hash of doc_id.
 
-    The window's limit is pushed below its shuffle, so each task passes on at most
-    ``rows_per_language`` rows of a language. Languages beyond ``rows_in_all`` rows in all are
-    thinned evenly: the languages with fewest rows keep theirs first.
+    The choice is made on (doc_id, lang) alone, first in parts of a language and then in the
+    language, and each window's limit is pushed below its shuffle; so no task meets more than a
+    few thousand narrow rows of a hot language. The texts of the chosen ids (``rows_in_all`` at
+    most, so they are broadcast) come from a second scan. Languages beyond ``rows_in_all`` rows
+    in all are thinned evenly: each keeps its first rows. Rows without doc_id are not chosen;
+    of rows with the same doc_id and language the least text is.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
-    first = labelled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= params.rows_per_language)
-    return first.orderBy("_n", "lang").limit(params.rows_in_all).drop("_n")
+    key = F.xxhash64("doc_id")
+    ids = labelled.filter(F.col("doc_id").isNotNull()).select("doc_id", "lang", F.pmod(key, F.lit(32)).alias("_part"), key.alias("_hash"))
+
+    def least(rows: DataFrame, *by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_hash", "doc_id"))
+        return rows.withColumn("_n", place).filter(F.col("_n") <= params.rows_per_language)
+
+    chosen = least(least(ids, "lang", "_part"), "lang").orderBy("_n", "lang").limit(params.rows_in_all).select("doc_id", "lang").distinct()
+    found = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def fit(labelled: DataFrame, params: KernelParams = KernelParams()) -> KernelModel | None:
