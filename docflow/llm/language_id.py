@@ -57,29 +57,30 @@ def letters_only(text: str) -> bytes:
 def gram_presence(texts: list[bytes], params: KernelParams) -> np.ndarray:
     """0/1 rows of the bins whose grams each text holds; texts of any length, in one pass.
 
-    Grams do not cross texts. Texts are joined with a space on both sides, so edges count as
-    word ends.
+    Texts are joined with a space on both sides, so edges count as word ends; grams that would
+    cross into the next text go to a row that is dropped.
     """
     bins = 1 << params.bins_log2
-    flags = np.zeros((len(texts), bins), dtype=np.uint8)
+    flags = np.zeros((len(texts) + 1, bins), dtype=np.uint8)
     if not texts:
-        return flags
-    data = np.frombuffer(b"".join(b" " + t + b"  " for t in texts), dtype=np.uint8)
-    lengths = np.fromiter((len(t) + 3 for t in texts), dtype=np.int64, count=len(texts))
+        return flags[:0]
+    data = np.frombuffer(b"".join(b" " + t + b" " for t in texts), dtype=np.uint8)
+    lengths = np.fromiter((len(t) + 2 for t in texts), dtype=np.int64, count=len(texts))
+    ends = np.cumsum(lengths)
     base = np.repeat(np.arange(len(texts), dtype=np.int64) * bins, lengths)
     flat = flags.reshape(-1)
     value = np.zeros(len(data), dtype=np.uint32)
     shift = np.uint32(32 - params.bins_log2)
     for n in range(1, max(params.grams) + 1):
         value = (value[: len(data) - n + 1] << np.uint32(8)) | data[n - 1 :] if n > 1 else data.astype(np.uint32)
+        if n > 1:
+            base[np.maximum(ends - n + 1, 0)] = len(texts) * bins
         if n in params.grams:
             bin_of = (value + np.uint32(n)) * np.uint32(_MIX[(n - 1) % len(_MIX)])
             bin_of ^= bin_of >> np.uint32(15)
             bin_of = (bin_of * np.uint32(0x2C1B3C6D)) >> shift
-            # A gram that runs into the next text is counted to the text where it begins; the
-            # two closing spaces keep grams of up to three bytes inside.
             flat[base[: len(bin_of)] + bin_of] = 1
-    return flags
+    return flags[:-1]
 
 
 def kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -212,8 +213,9 @@ def op2_language_id(documents: DataFrame, params: KernelParams = KernelParams())
     return identify(narrow, model, ["doc_id", "held_out"])
 
 
-def keep_identified(documents: DataFrame, least: float = 0.3) -> DataFrame:
-    """Documents in a learned language: rejects ``und`` and texts scored under ``least``.
+def keep_identified(documents: DataFrame, least: float = 1.05) -> DataFrame:
+    """Documents in a learned language: rejects ``und`` and texts whose score is no better than
+    ``least`` times that of a guess (one over the number of languages).
 
     All columns and rows stay as they are otherwise. The model is fitted on the table's own
     labelled rows that are not held out; with no labelled row there is no language to tell, and
@@ -229,7 +231,8 @@ def keep_identified(documents: DataFrame, least: float = 0.3) -> DataFrame:
                 keep = [bool(t and _LETTER.search(t)) for t in texts]
             else:
                 names, scores = predict(texts, shared.value)
-                keep = [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
+                guess = least / len(shared.value.languages) if len(shared.value.languages) > 1 else 0.0
+                keep = [n != "und" and s >= guess for n, s in zip(names, scores, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
