@@ -39,8 +39,8 @@ class ForestParams:
     With similarity s, a tree brings a pair into one region with probability s ** head; at 0.8,
     four values and 32 trees, all trees miss it once in 20 million. ``agree`` of the LEVELS
     deeper values must be equal for neighbours to be joined (under 5 of 16 happens to a pair at
-    0.8 with probability 3e-6 a tree). ``block``: documents of a cluster compared with each
-    other in one task.
+    0.8 with probability 3e-6 a tree). ``block`` documents or ``block_shingles`` shingles of a
+    cluster are compared with as many others in one task, which bounds its memory.
     """
 
     width: int = 2
@@ -50,6 +50,7 @@ class ForestParams:
     agree: int = 5
     back: int = 2
     block: int = 256
+    block_shingles: int = 400_000
 
     @property
     def values(self) -> int:
@@ -160,18 +161,19 @@ def _linked(ids: np.ndarray, sets: list[np.ndarray], first: int, percent: int) -
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """Runs of rows with the same (cluster, i, j) in sorted batches."""
+    """Runs of rows with the same (cluster, i, j) in sorted batches; sets are views of the batches."""
     key, held = None, {}
     for batch in batches:
-        rows = batch.to_pydict()
-        for k in range(batch.num_rows):
-            own = (rows["cluster"][k], rows["i"][k], rows["j"][k])
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True))
+        reps, sides, sets = (batch.column(c) for c in ("rep", "side", "set"))
+        for k, own in enumerate(keys):
             if own != key:
                 if key is not None:
                     yield held
                 key, held = own, {"rep": [], "side": [], "set": []}
-            for name in held:
-                held[name].append(rows[name][k])
+            held["rep"].append(reps[k].as_py())
+            held["side"].append(sides[k].as_py())
+            held["set"].append(np.frombuffer(sets[k].as_buffer(), dtype=np.uint64))
     if key is not None:
         yield held
 
@@ -179,12 +181,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
 def cluster_links(documents: DataFrame, clusters: DataFrame, params: ForestParams) -> tuple[DataFrame, bool]:
     """Links of all pairs in each cluster as forests (a, b), and whether a cluster has many blocks.
 
-    ``clusters``: (rep, cluster, n). A cluster of n documents is dealt by hash into n / block
-    blocks, and each pair of blocks is one task; a document's set is sent to as many tasks as
-    its cluster has blocks. Small clusters are one task each.
+    ``clusters``: (rep, cluster, n, held). A cluster of n documents that hold so many shingles is
+    dealt by hash into blocks of about ``block`` documents and ``block_shingles`` shingles at most, and
+    each pair of blocks is one task; a document's set is sent to as many tasks as its cluster
+    has blocks. Small clusters are one task each.
     """
     p = params
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / p.block)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / p.block), F.ceil(F.col("held") / p.block_shingles)).cast("int")
     placed = clusters.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     many = placed.filter("blocks > 1").limit(1).count() > 0
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -203,7 +206,7 @@ def cluster_links(documents: DataFrame, clusters: DataFrame, params: ForestParam
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            own = [np.frombuffer(s, dtype=np.uint64) for s in group["set"]]
+            own = group["set"]
             if len(own) > 1:
                 first = group["side"].index(1) if 1 in group["side"] else 0
                 a, b = _linked(np.array(group["rep"], dtype=np.int64), own, first, p.percent)
@@ -227,12 +230,12 @@ def near_components(documents: DataFrame, params: ForestParams = ForestParams())
     total = table.count()
     usable = table.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min_by(F.struct("heads", "low"), "doc_id").alias("s")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("n_shingles").alias("n_shingles"), F.min_by(F.struct("heads", "low"), "doc_id").alias("s")
     )
-    reps = staged(classes.select("cls", "rep", "size", "s.heads", "s.low"), "classes")
-    clusters = components(forest_edges(reps, params))
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    sized = staged(join_groups(clusters, sizes, "root", "n", max(1, total)).select(F.col("node").alias("rep"), F.col("root").alias("cluster"), "n"), "clusters")
+    reps = staged(classes.select("cls", "rep", "size", "n_shingles", "s.heads", "s.low"), "classes")
+    clusters = components(forest_edges(reps, params)).join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("own")), "node")
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("held"))
+    sized = staged(join_groups(clusters, sizes, "root", "n", max(1, total)).select(F.col("node").alias("rep"), F.col("root").alias("cluster"), "n", "held"), "clusters")
     links, many = cluster_links(documents, sized, params)
     # A cluster of one block is settled by its forest; else the blocks' forests are put together.
     roots = components(links) if many else links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
