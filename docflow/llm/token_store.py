@@ -13,6 +13,8 @@ SHA-256 of the dictionary, b"DFZ1").
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,59 +44,81 @@ def open_store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
+#: Punctuation that ends words; cut off, it leaves the stem that the vocabulary of a corpus repeats.
+_TAIL = b".,;:!?|%&*#$)"
+#: Words of these letters alone are one pre-token, and no normalisation changes them.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte, by their rule."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Whole texts by a tokenizers file whose pre-tokens never cross white space.
 
-    The ids of a text are those of its words in turn; words are encoded by the library, many in
-    one call, and kept for the next texts. A word that no text can hold (a NUL) parts them.
+    The ids of a text are those of its words in turn, so words are encoded by the library once
+    and kept (``keep`` of them) for the next texts. For byte-level BPE files that lower-case and
+    take runs of letters as pre-tokens, a word of plain letters goes to the library's BPE model
+    at once, and closing punctuation is parted from it, where a pre-token ends anyway; all other
+    words go through the whole of the library.
     """
 
-    def __init__(self, source: str, keep: int = 400_000):
+    def __init__(self, source: str, keep: int = 600_000):
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keep, self.known = keep, {}
-        part = self._ids("\x00")
-        self.part = part[0] if len(part) == 1 else None
+        parts = json.loads(source)
+        steps = lambda x, name: [x] if x and "type" in x and x["type"] != "Sequence" else (x or {}).get(name, [])
+        normal = {n["type"] for n in steps(parts.get("normalizer"), "normalizers")}
+        split = steps(parts.get("pre_tokenizer"), "pretokenizers")
+        letters = any(r"|[\p{L}]+|" in p.get("pattern", {}).get("Regex", "") for p in split)
+        level = any(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in split)
+        self.lower = "Lowercase" in normal
+        self.quick = parts["model"]["type"] == "BPE" and normal == {"NFC", "Replace", "Lowercase"} and letters and level
+        self.letters = byte_letters()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.keep:
+    def _stored(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        if len(self.known) >= self.keep:
             self.known.clear()
-        alone = [w for w in words if self.part is None or b"\x00" in w]
-        for word in alone:
-            self.known[word] = np.array(self._ids(word.decode()), dtype=self.kind).tobytes()
-        several = [w for w in words if w not in self.known]
-        for i in range(0, len(several), 4096):
-            own = several[i : i + 4096]
-            ids = np.array(self._ids(b" \x00 ".join(own).decode()), dtype=self.kind)
-            ends = [*np.flatnonzero(ids == self.part).tolist(), len(ids)]
-            if len(ends) != len(own):
-                raise AssertionError("words and their ids do not match")
-            start = 0
-            for word, end in zip(own, ends, strict=True):
-                self.known[word] = ids[start:end].tobytes()
-                start = end + 1
+        stem = word.rstrip(_TAIL) if self.quick else word
+        text = stem.decode()
+        if not self.quick or not _PLAIN.fullmatch(text):
+            found = self.known[word] = self._stored(self._ids(word.decode()))
+            return found
+        found = self.known.get(stem)
+        seen = found is not None
+        if not seen:
+            shown = text if text.isascii() else stem.decode("latin-1").translate(self.letters)
+            found = self.known[stem] = self._stored([t.id for t in self.tokenizer.model.tokenize(shown)])
+        if tail := word[len(stem) :]:
+            ending = self.known.get(tail)
+            if ending is None:
+                ending = self.known[tail] = self._stored(self._ids(tail.decode()))
+            found += ending
+            if seen:  # worth keeping whole
+                self.known[word] = found
+        return found
 
     def encode(self, text: bytes | None) -> bytes:
         """Serialised ids of a whole text in UTF-8, without an end id."""
-        words = (text or b"").split()
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if not missing:
-            return b"".join(map(known.__getitem__, words))
-        if len(missing) > self.keep:
-            return np.array(self._ids(text.decode()), dtype=self.kind).tobytes()
-        self._learn(missing)
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:  # the words kept so far went with the clearing
-            self._learn([w for w in dict.fromkeys(words) if w not in known])
-            if any(w not in known for w in missing):
-                return np.array(self._ids(text.decode()), dtype=self.kind).tobytes()
-            return b"".join(map(known.__getitem__, words))
+        text = text or b""
+        words = (text.lower() if self.lower else text).split()
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            get, make = self.known.get, self._word
+            parts = [get(w) or make(w) if p is None else p for w, p in zip(words, parts, strict=True)]
+        return b"".join(parts)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
