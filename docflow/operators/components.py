@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.skew import join_groups
 from docflow.plans.staging import staged
 
 
@@ -12,11 +13,15 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the least of its neighbours and itself."""
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each node links its larger neighbours to the least of its neighbours and itself.
+
+    A root's leaves all carry its id, so hubs are joined apart from the others, without a shuffle.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("degree"))
+    linked = join_groups(both.filter("b > a"), least, "a", "degree", 2 * total)
+    return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +39,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     repeated edges count once, an empty table gives an empty result. Each round costs a few
     shuffles of narrow rows and the number of rounds grows with the logarithm of the size; every
     round is staged in the shared folder, so that lineage stays short and a lost executor costs
-    one round. A hub's rows meet in joins that AQE can split.
+    one round.
     """
     known = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     current = staged(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -42,7 +47,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        current = staged(_small_star(_large_star(current)), "edges")
+        current = staged(_small_star(_large_star(current, before[0])), "edges")
         after = _fingerprint(current)
         if after == before:
             break
