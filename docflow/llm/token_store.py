@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docflow.llm.arrow import map_rows, utf8
-from docflow.llm.staging import new_path, staged
+from docflow.plans.staging import new_path, staged
 
 _ROW, _FOOTER, _MAGIC = struct.Struct("<qQIQI"), struct.Struct("<QQB32s4s"), b"DFZ1"
 #: doc_id of an index row whose document has none.
@@ -81,19 +81,20 @@ class WordEncoder:
         self.lower = "Lowercase" in normal
         self.quick = parts["model"]["type"] == "BPE" and normal == {"NFC", "Replace", "Lowercase"} and letters and level
         self.letters = byte_letters()
+        self.one = [k.to_bytes(self.kind.itemsize, "little") for k in range(self.tokenizer.get_vocab_size())]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _stored(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return b"".join([self.one[k] for k in ids])
 
     def _word(self, word: bytes) -> bytes:
         if len(self.known) >= self.keep:
             self.known.clear()
         stem = word.rstrip(_TAIL) if self.quick else word
         text = stem.decode()
-        if not self.quick or not _PLAIN.fullmatch(text):
+        if not self.quick or not (text.isascii() and text.isalpha() or _PLAIN.fullmatch(text)):
             found = self.known[word] = self._stored(self._ids(word.decode()))
             return found
         found = self.known.get(stem)
@@ -114,11 +115,8 @@ class WordEncoder:
         """Serialised ids of a whole text in UTF-8, without an end id."""
         text = text or b""
         words = (text.lower() if self.lower else text).split()
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            get, make = self.known.get, self._word
-            parts = [get(w) or make(w) if p is None else p for w, p in zip(words, parts, strict=True)]
-        return b"".join(parts)
+        get, make = self.known.get, self._word
+        return b"".join([get(w) or make(w) for w in words])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
