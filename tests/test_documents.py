@@ -296,3 +296,14 @@ def test_streams_take_new_files_once(spark, tmp_path):
     counted = ingest_stream.arrivals(ingest_stream.new_files(spark, str(source))).writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination(60)
     assert {(r.extension, r.files) for r in spark.table("arrivals").collect()} == {(".csv", 1), (".txt", 1)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from docflow.__main__ import main
+
+    (tmp_path / "a.csv").write_text("x,y,z\n1,2,3\n")
+    assert main(["--file", str(tmp_path / "a.csv")]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["document"]["source_name"] == "a.csv"
+    (tmp_path / "b").write_bytes(b"two\nlines")
+    assert main(["--batch", str(tmp_path), "--output", str(tmp_path / "out")]) == 1
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["failed_files"] == 1
