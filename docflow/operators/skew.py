@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 HOT = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, ask: bool = False) -> DataFrame:
     """``rows`` with the columns of their group; ``groups`` has one row per key and its ``size``.
 
     Hot groups (``size`` over ``total`` / HOT, so fewer than HOT of them) are broadcast, and their
     rows are not shuffled. The others are joined by a shuffle on the key, where no key holds
-    more than one row in HOT. Rows without a group are dropped; so are null keys.
+    more than one row in HOT. Rows without a group are dropped; so are null keys. With ``ask``
+    (for staged groups and wide rows) a job asks first whether there are other groups at all.
     """
     others = [c for c in groups.columns if c != key]
     hot = F.col(size) * HOT > total
@@ -22,5 +23,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     marked = rows.join(F.broadcast(few), key, "left")
     own = rows.columns
     quick = marked.filter(F.col("_group").isNotNull()).select(*own, "_group.*")
-    slow = marked.filter(F.col("_group").isNull()).select(*own).join(groups.filter(~hot), key)
+    cold = groups.filter(~hot)
+    if ask and cold.isEmpty():
+        return quick.select(*own, *others)
+    slow = marked.filter(F.col("_group").isNull()).select(*own).join(cold, key)
     return quick.unionByName(slow.select(*own, *others))
