@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -26,12 +27,46 @@ def by_bytes(items: list, size: Callable[[object], int], limit: int) -> Iterator
         yield start, len(items)
 
 
+#: Bytes of an Arrow batch where the session keeps Spark's default, and of a slice worked on at once.
+BATCH_BYTES, SLICE_BYTES, DEFAULT_BYTES = "2m", 2 << 20, 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches to BATCH_BYTES unless the session has set its own bound.
+
+    A batch is held by the JVM and the Python worker at once; long texts would make it large.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(DEFAULT_BYTES):
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def release() -> None:
+    """Give freed memory back to the system; idle workers would keep it for the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of about SLICE_BYTES of each batch; memory is given back at the end of a partition."""
+    try:
+        for batch in batches:
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, rows):
+                yield batch.slice(start, rows)
+    finally:
+        release()
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.RecordBatch], dict[str, list]], arrow_schema: pa.Schema) -> DataFrame:
-    """mapInArrow over the named columns only; ``work`` returns the output columns of a batch."""
+    """mapInArrow over the named columns only; ``work`` returns the output columns of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(work(batch), schema=arrow_schema)
+        for part in slices(batches):
+            yield pa.RecordBatch.from_pydict(work(part), schema=arrow_schema)
 
+    small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.arrow import by_bytes, map_rows
+from docflow.llm.arrow import by_bytes, map_rows, slices, small_batches
 
 #: Bytes other than letters and parts of UTF-8 sequences count as a space.
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -225,7 +225,7 @@ def keep_identified(documents: DataFrame, least: float = 1.05) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             if shared.value is None:
                 keep = [bool(t and _LETTER.search(t)) for t in texts]
@@ -235,4 +235,5 @@ def keep_identified(documents: DataFrame, least: float = 1.05) -> DataFrame:
                 keep = [n != "und" and s >= guess for n, s in zip(names, scores, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    small_batches(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)

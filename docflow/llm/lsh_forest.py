@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.arrow import by_bytes, map_rows, utf8
-from docflow.llm.components import components
+from docflow.llm.arrow import by_bytes, map_rows, slices, utf8
+from docflow.operators.components import components
 from docflow.llm.filters import maybe_in, without_ids
 from docflow.llm.shingles import shingle_set, signatures
-from docflow.llm.skew import join_groups
-from docflow.llm.staging import staged
+from docflow.operators.skew import join_groups
+from docflow.plans.staging import staged
 
 #: Deeper label levels after the head, one byte of a MinHash value each.
 LEVELS = 16
@@ -205,7 +205,7 @@ def cluster_links(documents: DataFrame, clusters: DataFrame, params: ForestParam
     linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in _groups(slices(batches)):
             own = group["set"]
             if len(own) > 1:
                 first = group["side"].index(1) if 1 in group["side"] else 0

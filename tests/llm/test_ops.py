@@ -11,8 +11,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from docflow.llm import avi, bpe_tree, components, digest_index, hilbert, jpeg, language_id, license_scan, lsh_forest, mixing, token_store
-from docflow.llm.staging import new_path
+from docflow.llm import avi, bpe_tree, digest_index, hilbert, jpeg, language_id, license_scan, lsh_forest, mixing, token_store
+from docflow.operators import components
+from docflow.plans.staging import new_path
 from tests.llm.cases import awkward, clashing, prose, table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
