@@ -38,5 +38,8 @@ def without_ids(documents: DataFrame, dropped: DataFrame) -> DataFrame:
     packed = documents.select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("_row"))
     marked = maybe_in(packed, dropped.select(F.col("doc_id").alias("_drop")), "_id", "_maybe")
     stays = marked.filter(~F.col("_maybe")).select("_row")
-    decided = marked.filter("_maybe").join(dropped.select(F.col("doc_id").cast("long").alias("_id")), "_id", "left_anti").select("_row")
+    # An outer join and a filter: Catalyst would push an anti-join below the bit set's filter and
+    # shuffle every row.
+    gone = dropped.select(F.col("doc_id").cast("long").alias("_id")).distinct().withColumn("_gone", F.lit(True))
+    decided = marked.filter("_maybe").join(gone, "_id", "left").filter("_gone IS NULL").select("_row")
     return stays.unionByName(decided).select("_row.*")
