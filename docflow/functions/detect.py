@@ -93,10 +93,14 @@ def mixed_indicators(text: Column) -> dict[str, Column]:
 
 
 def is_mixed(text: Column) -> Column:
-    """Two or more formats in a text that is not purely one; cheap tests come first."""
+    """Two or more formats in a text that is not purely one; cheap tests come first.
+
+    Without a fence, a brace or a tag only the CSV indicator could hold, so prose is done at once.
+    """
+    marked = text.contains("```") | text.contains("{") | text.contains("<")
     count = reduce(lambda a, b: a + b, [c.cast("int") for c in mixed_indicators(text).values()])
     return (
-        F.when(text.isNull() | (F.length(text) < 100), False)
+        F.when(text.isNull() | (F.length(text) < 100) | ~marked, False)
         .when(is_pure_json(text) | is_pure_html(text) | is_pure_csv(text), False)
         .otherwise(count >= 2)
     )

@@ -133,11 +133,11 @@ def formats(name: Column, content: Column, text: Column) -> Column:
         literal = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
         return F.struct(literal(kind).alias("detected_format"), literal(mime).alias("mime_type"), literal(code).alias("encoding"))
 
+    subject = F.coalesce(text, inside)
     return (
-        F.when(text.isNotNull() & detect.is_mixed(text), result("mixed", "text/mixed", "utf-8"))
+        F.when(subject.isNotNull() & detect.is_mixed(subject), result("mixed", "text/mixed", F.when(text.isNotNull(), "utf-8").otherwise(coding)))
         .when(text.isNotNull(), result("text", "text/plain", "utf-8"))
         .when(content.isNull(), result("unknown", None, None))
-        .when(inside.isNotNull() & detect.is_mixed(inside), result("mixed", "text/mixed", coding))
         .when(_lookup(key, 0).isNotNull(), result(_lookup(key, 0), _lookup(key, 1), coding))
         .when(inside.isNotNull() & ~is_blank(inside) & detect.is_printable(inside), result("text", "text/plain", coding))
         .otherwise(result("unknown", None, coding))
