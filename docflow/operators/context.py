@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from docflow.functions.text import stable_id
 from docflow.operators.chunking import HEADER
 
-_HEADER = re.compile(HEADER.replace("$)$", "$)$"), re.MULTILINE)
+_HEADER = re.compile(HEADER, re.MULTILINE)
 _TERM = re.compile(r"(?u)\b\w\w+\b")
 #: Words that carry no topic.
 STOP_WORDS = frozenset(
