@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.ranks import ranked
+from docflow.operators.skew import join_groups
+from docflow.plans.staging import staged
 
 #: Production parameters: weights by place of the source, share of all sizes, most copies, seed.
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "docflow-mix-1"
@@ -70,47 +72,50 @@ def systematic_mix(df: DataFrame, source: Column, size: Column, ties: list[Colum
     and take part; a source of no size has target 0 and no copies. An empty table gives an
     empty result. Give ``df`` narrow, without texts.
     """
-    keyed = df.withColumns({"source": source, "size": size})
-    order = [F.col("source").asc_nulls_last(), F.col("size"), *ties]
-    placed = ranked(
-        keyed.withColumn("_null", F.col("source").isNull()),
-        [F.col("_null"), F.coalesce("source", F.lit("")), *order[1:]],
-        "mix",
-        "_rank",
-        "_total",
-    )
-    stats = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_rank").alias("_first"))
-    targets = source_targets(stats.select("source", "source_size"), weights, share, most)
-    table = stats.select("source", "_first").alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-    table = table.select(F.col("s.source").alias("_source"), "_first", "source_size", "target")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # no source is a source of its own
+    keyed = df.withColumns({"source": source, "size": size}).withColumn("_key", key)
+    order = [F.col("source").isNull(), F.coalesce("source", F.lit("")), F.col("size"), *ties]
+    placed = ranked(keyed, order, "mix", "_rank", "_total")
+    stats = placed.groupBy("_key", "source").agg(F.sum("size").alias("source_size"), F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    stats = staged(stats, "sources")
+    targets = source_targets(stats.select("source", "source_size"), weights, share, most).withColumn("_key", key)
+    table = staged(stats.join(targets.select("_key", "target"), "_key").select("_key", "source_size", "target", "_first", "_rows"), "targets")
+    rows = table.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    joined = join_groups(placed, table, "_key", "_rows", rows, ask=True)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = placed.join(table, F.col("source").eqNullSafe(F.col("_source")))
     i = F.col("_rank") - F.col("_first")
     edge = lambda k: F.floor(k * F.col("_rate") + F.col("_offset"))
     copies = edge(i + 1) - edge(i)
     out = joined.withColumns({"_rate": rate, "_offset": unit_hash(F.col("source"), seed)})
     out = out.withColumn("copies", F.greatest(F.least(copies, F.lit(int(most))), F.lit(0)).cast("int"))
-    return out.drop("_source", "_first", "_rank", "_total", "_rate", "_offset", "_null")
+    return out.drop("_key", "_first", "_rows", "_rank", "_total", "_rate", "_offset")
+
+
+def mixed_documents(documents: DataFrame, *more: Column) -> DataFrame:
+    """`systematic_mix` of documents by source and words, with doc_id and ``more``."""
+    narrow = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more)
+    return systematic_mix(narrow, F.col("source"), F.col("size"), [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")])
 
 
 def op10_systematic_mix(documents: DataFrame) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken long, copies int."""
-    narrow = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = systematic_mix(narrow, F.col("source"), F.col("size"), [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")])
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return mixed_documents(documents).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix_rows(documents: DataFrame) -> DataFrame:
     """Documents as the mix takes them: each row as many times as it has copies, same columns.
 
-    Whole rows go through the range shuffle, packed in a struct so that no column name clashes.
+    The mix is made on narrow rows and joined back by doc_id, so texts are shuffled once, evenly.
+    Where doc_id repeats or is null it cannot tell rows apart, and whole rows go through the
+    mix. Rows are packed in a struct, so that no column name clashes.
     """
-    packed = documents.select(
-        F.struct("*").alias("_row"),
-        "source",
-        "doc_id",
-        word_count(F.col("text")).alias("size"),
-    )
-    mixed = systematic_mix(packed, F.col("source"), F.col("size"), [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")])
-    taken = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select("_row.*")
+    row = F.struct("*").alias("_row")
+    copies = staged(mixed_documents(documents).select("doc_id", "copies"), "copies")
+    rows, ids = copies.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        # A merge join at every size: the copies grow with the documents, so they are not broadcast.
+        some = copies.filter("copies > 0").withColumnRenamed("doc_id", "_id").hint("merge")
+        taken = documents.select(F.col("doc_id").alias("_id"), row).join(some, "_id")
+    else:
+        taken = mixed_documents(documents, row).filter("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
