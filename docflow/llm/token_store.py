@@ -61,17 +61,17 @@ class WordEncoder:
     """Whole texts by a tokenizers file whose pre-tokens never cross white space.
 
     The ids of a text are those of its words in turn, so words are encoded by the library once
-    and kept (``keep`` of them) for the next texts. For byte-level BPE files that lower-case and
+    and kept (``keep`` new ones and as many older) for the next texts. For byte-level BPE files that lower-case and
     take runs of letters as pre-tokens, a word of plain letters goes to the library's BPE model
     at once, and closing punctuation is parted from it, where a pre-token ends anyway; all other
     words go through the whole of the library.
     """
 
-    def __init__(self, source: str, keep: int = 600_000):
+    def __init__(self, source: str, keep: int = 400_000):
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.older = keep, {}, {}
         parts = json.loads(source)
         steps = lambda x, name: [x] if x and "type" in x and x["type"] != "Sequence" else (x or {}).get(name, [])
         normal = {n["type"] for n in steps(parts.get("normalizer"), "normalizers")}
@@ -90,14 +90,19 @@ class WordEncoder:
         return b"".join([self.one[k] for k in ids])
 
     def _word(self, word: bytes) -> bytes:
-        if len(self.known) >= self.keep:
-            self.known.clear()
+        if len(self.known) >= self.keep:  # words met again come back from the older ones
+            self.known, self.older = {}, self.known
+        if (found := self.older.get(word)) is not None:
+            self.known[word] = found
+            return found
         stem = word.rstrip(_TAIL) if self.quick else word
         text = stem.decode()
         if not self.quick or not (text.isascii() and text.isalpha() or _PLAIN.fullmatch(text)):
             found = self.known[word] = self._stored(self._ids(word.decode()))
             return found
         found = self.known.get(stem)
+        if found is None and (found := self.older.get(stem)) is not None:
+            self.known[stem] = found
         seen = found is not None
         if not seen:
             shown = text if text.isascii() else stem.decode("latin-1").translate(self.letters)
