@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Python's \w; Java's \b follows other letters and differs between versions.
+_WORD = r"[\p{L}\p{N}_]"
 #: Misread characters and what they stand for, in order.
 SUBSTITUTIONS = (
-    (r"\b0(?=[A-Za-z])", "O"),
-    (r"(?<=[A-Za-z])0\b", "o"),
-    (r"\b1(?=[A-Za-z])", "I"),
-    (r"(?<=[A-Za-z])1\b", "l"),
+    (rf"(?<!{_WORD})0(?=[A-Za-z])", "O"),
+    (rf"(?<=[A-Za-z])0(?!{_WORD})", "o"),
+    (rf"(?<!{_WORD})1(?=[A-Za-z])", "I"),
+    (rf"(?<=[A-Za-z])1(?!{_WORD})", "l"),
 )
 #: Substitutions that need a context to be right.
 GATED = ((r"rn", "m"), (r"(?<!\s)(?<!^)([A-Z])", r" $1"))

@@ -584,10 +584,9 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(noisy
 """
 )
 def ocr_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules on texts made noisy; RE2's word boundaries are ASCII's, so the comparison takes ASCII texts."""
-    noisy = F.replace(F.replace(F.substring("text", 1, 200), F.lit("o"), F.lit("0")), F.lit("I"), F.lit("1"))
-    rows = table(spark, sf, "documents").select("doc_id", noisy.alias("noisy")).filter(~F.col("noisy").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", correct.ocr_rules(F.col("noisy")).alias("fixed"))
+    """Rules on every whole text, made noisy. The SQL covers less: 200 characters of ASCII texts."""
+    noisy = F.replace(F.replace("text", F.lit("o"), F.lit("0")), F.lit("I"), F.lit("1"))
+    return table(spark, sf, "documents").select("doc_id", correct.ocr_rules(noisy).alias("fixed"))
 
 
 @query(

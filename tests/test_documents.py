@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from docflow.functions import detect
 from docflow.functions import text as text_fns
 from docflow.operators import chunking, context, correct, entities, jobs, layout, office, packing
+from docflow.plans import catalog
 from docflow.sources import ingest
 from docflow.streaming import ingest_stream
 
@@ -263,6 +265,21 @@ def test_corrections(spark):
     assert {r.word: (r.correction, r.distance) for r in correct.dictionary_corrections(words, dictionary, keep).collect()} == {"helo": ("help", 1), "wrold": ("word", 2)}
 
 
+def brute_ocr_rules(text):
+    for pattern, by in ((r"\b0(?=[A-Za-z])", "O"), (r"(?<=[A-Za-z])0\b", "o"), (r"\b1(?=[A-Za-z])", "I"), (r"(?<=[A-Za-z])1\b", "l")):
+        text = re.sub(pattern, by, text)
+    return text
+
+
+def test_ocr_rules_on_every_whole_text(spark, sf, tmp_path):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    extra = {-1: None, -2: "", -3: "x" * 300 + " of Io", -4: "éo éoa oé Iñ ñI ²oa ao² e\u0301oa a_o _oa", -5: "👍oa\n" + "Über Oslo " * 50}
+    spark.createDataFrame(list((docs | extra).items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.fixed for r in catalog.ocr_rules(spark, str(tmp_path)).collect()}
+    assert found == {i: None if t is None else brute_ocr_rules(t.replace("o", "0").replace("I", "1")) for i, t in (docs | extra).items()}
+    assert any(len(t) > 200 for t in docs.values()) and any(not t.isascii() for t in docs.values())
+
+
 def test_entities_merge_and_relations(spark):
     assert entities.token_set_ratio("John Smith", "Smith, John") == 100 and entities.token_set_ratio("abc", "xyz") < 50
     rows = [("1", "John Smith", "PERSON"), ("2", "Smith, John", "PERSON"), ("3", "John Smith", "PERSON"), ("4", "John A. Smith", "PERSON"), ("5", "Johnson", "PERSON"), ("6", "John Smith", "ORG")]
