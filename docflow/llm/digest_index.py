@@ -96,27 +96,31 @@ def deduplicate(documents: DataFrame, index: DigestIndex) -> DataFrame:
     document. An empty table gives an empty result. Only doc_id and text are read, so other
     columns and their names do not matter.
 
-    Digests are staged once (about 70 bytes a row). The group table is made with map-side
-    partial aggregation, so a group of any size costs one row per task. Rows take their group
-    back by a join on the digest, those of hot digests by a broadcast of bounded size.
+    Digests are staged once (about 70 bytes a row) and fed in two batches, the larger ids first, so
+    that the second is anti-joined with what the first appended and the index holds the largest
+    id of each new digest. The verdicts are then read from the index. Batches are grouped with
+    map-side partial aggregation, so a group of any size costs one row per task. Rows take their
+    group back by a join on the digest, those of hot digests by a broadcast of bounded size.
     """
     digests = staged(text_digests(documents), "digests")
-    rows = digests.count()
-    groups = staged(
-        digests.groupBy("digest").agg(F.max("doc_id").alias("batch_keep"), F.count(F.lit(1)).alias("group_size")),
-        "groups",
-    )
-    known = index.read()
-    fresh = index.unseen(groups)
-    if known is not None:
-        before = staged(known.join(groups.select("digest"), "digest", "left_semi"), "known")
-        groups = groups.join(before.withColumnRenamed("keep_id", "_known"), "digest", "left")
-        groups = groups.withColumns({"_new": F.col("_known").isNull(), "keep_id": F.coalesce("_known", "batch_keep")})
+    rows, low, high = digests.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    first = F.lit(False) if low is None else F.coalesce(F.col("doc_id") > (low + high) // 2, F.lit(False))
+    anew = index.read() is None
+    groups, fresh = [], []
+    for batch in (first, ~first):
+        grouped = digests.filter(batch).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups.append(staged(grouped, "groups"))
+        fresh.append(staged(index.unseen(groups[-1]).select("digest", "keep_id"), "fresh"))
+        index.append(fresh[-1])
+    sizes = groups[0].union(groups[1]).groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    found = sizes.hint("merge").join(index.read().hint("merge"), "digest")
+    if anew:
+        found = found.withColumn("_new", F.lit(True))
     else:
-        groups = groups.withColumns({"_new": F.lit(True), "keep_id": F.col("batch_keep")})
-    index.append(fresh.select("digest", F.col("batch_keep").alias("keep_id")))
-    groups = groups.select("digest", "keep_id", "group_size", "_new")
-    both = join_groups(digests, groups.select("digest", "keep_id", "group_size", "_new"), "digest", "group_size", rows)
+        new = fresh[0].union(fresh[1]).select("digest", F.lit(True).alias("_new"))
+        found = found.join(new, "digest", "left").withColumn("_new", F.coalesce("_new", F.lit(False)))
+    verdicts = staged(found.select("digest", "keep_id", "group_size", "_new"), "groups")
+    both = join_groups(digests, verdicts, "digest", "group_size", rows)
     kept = F.col("_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 

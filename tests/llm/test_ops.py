@@ -359,6 +359,25 @@ def test_index_persists_and_grows(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+@pytest.mark.parametrize("job", [digest_index.op8_exact_dedup, digest_index.drop_copies])
+def test_jobs_anti_join_with_the_index(spark, monkeypatch, job):
+    asked, unseen = [], digest_index.DigestIndex.unseen
+
+    def watched(index, groups):
+        fresh = unseen(index, groups)
+        asked.append((fresh._jdf.queryExecution().executedPlan().toString(), groups.count(), fresh.count()))
+        return fresh
+
+    monkeypatch.setattr(digest_index.DigestIndex, "unseen", watched)
+    found = rows_of(job(table(spark, [(1, "a"), (2, "b"), (3, "A"), (4, "c"), (-5, "B"), (None, "c"), (None, "d")])))
+    plan, rows, fresh = asked[-1]
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and (rows, fresh) == (3, 1)
+    ids = sorted(str(r.doc_id) for r in found if job is digest_index.drop_copies or r.kept)
+    assert ids == ["2", "3", "4", "None"]
+    if job is digest_index.op8_exact_dedup:
+        assert {r.text_sha256: (r.keep_id, r.group_size) for r in found} == {hashlib.sha256(t).hexdigest(): v for t, v in ((b"a", (3, 2)), (b"b", (2, 2)), (b"c", (4, 2)), (b"d", (None, 1)))}
+
+
 def test_dropping_copies_leaves_one_of_each(spark):
     unique = table(spark, [(1, "A b"), (2, "a B"), (3, "c"), (4, None), (5, "")])
     assert sorted(r.doc_id for r in rows_of(digest_index.drop_copies(clashing(unique)))) == [2, 3, 5]
