@@ -56,10 +56,15 @@ class ExpressionError(ValueError):
 
 @dataclass(frozen=True)
 class Expression:
-    """names: every licence and exception named; choices: the sets of licences that satisfy it."""
+    """names: every licence and exception named; choices: the least sets of licences that satisfy
+    it, none if they are too many to list; formula: the expression itself, in lower case."""
 
     names: frozenset[str]
     choices: frozenset[frozenset[str]]
+    formula: str
+
+    def __str__(self) -> str:
+        return "|".join(sorted("+".join(sorted(c)) for c in self.choices)) or self.formula
 
 
 def tokens(source: str) -> list[str]:
@@ -120,13 +125,24 @@ def postfix(parts: list[str]) -> list[str]:
     return out
 
 
+def least_sets(sets: set[frozenset[str]], most: int) -> frozenset[frozenset[str]] | None:
+    """The sets that hold no other of them; None if there are more than ``most``."""
+    kept: list[frozenset[str]] = []
+    for one in sorted(sets, key=len):
+        if not any(k <= one for k in kept):
+            if len(kept) == most:
+                return None
+            kept.append(one)
+    return frozenset(kept)
+
+
 def evaluate(parts: list[str], most_choices: int = 256) -> Expression:
-    """Names and choices of an expression; AND multiplies choices, so those over the limit are one.
+    """Names, choices and formula of an expression; AND multiplies choices, of which the least stay.
 
-    With more than ``most_choices`` choices, the expression keeps its names and has the single
-    choice of all of them, which satisfies it always.
+    With more than ``most_choices`` of them at any step, no choices are listed: the formula alone
+    says, exactly, what satisfies the expression.
     """
-    stack: list[tuple[frozenset[str], frozenset[frozenset[str]]]] = []
+    stack: list[tuple[frozenset[str], frozenset[frozenset[str]] | None]] = []
     for part in postfix(parts):
         if part not in _PRECEDENCE:
             stack.append((frozenset([part]), frozenset([frozenset([part])])))
@@ -138,10 +154,13 @@ def evaluate(parts: list[str], most_choices: int = 256) -> Expression:
                 raise ExpressionError("WITH joins one licence and one exception")
             joined = f"{next(iter(left[0]))} with {next(iter(right[0]))}"
             stack.append((frozenset([joined]), frozenset([frozenset([joined])])))
-            continue
-        choices = left[1] | right[1] if part == "or" else frozenset([names]) if len(left[1]) * len(right[1]) > most_choices else frozenset(a | b for a in left[1] for b in right[1])
-        stack.append((names, choices if len(choices) <= most_choices else frozenset([names])))
-    return Expression(*stack[0])
+        elif left[1] is None or right[1] is None:
+            stack.append((names, None))
+        else:
+            sets = set(left[1] | right[1]) if part == "or" else {a | b for a in left[1] for b in right[1]}
+            stack.append((names, least_sets(sets, most_choices)))
+    names, choices = stack[0]
+    return Expression(names, choices or frozenset(), " ".join(parts).replace("( ", "(").replace(" )", ")"))
 
 
 @dataclass
@@ -223,8 +242,9 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     Words: runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters. n_base counts all places
     of base phrases, overlapping ones too; first_word and last_word are null without one.
     Labels are distinct, sorted and comma-joined. n_notices, n_expressions, n_broken: places of
-    further phrases, expressions read, tags without a readable expression; choices: the sets of
-    licences that satisfy each expression. Null and empty texts have no words and no labels.
+    further phrases, expressions read, tags without a readable expression; choices: the least
+    sets of licences that satisfy each expression (a+b|c), or where these are over 256 the whole
+    expression, as (a or b) and c. Null and empty texts have no words and no labels.
     Whole texts are read, one at a time; rows are independent, so nothing is shuffled.
     """
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
@@ -245,7 +265,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
             "n_notices": [len(s.notices) for s in found],
             "n_expressions": [len(s.expressions) for s in found],
             "n_broken": [s.broken for s in found],
-            "choices": [";".join("|".join(sorted("+".join(sorted(c)) for c in e.choices)) for e in s.expressions) for s in found],
+            "choices": [";".join(map(str, s.expressions)) for s in found],
         }
 
     return map_rows(documents.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], SCHEMA, work, out)

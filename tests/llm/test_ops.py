@@ -211,6 +211,22 @@ def test_many_choices_stay_bounded():
     assert len(found.names) == 40 and len(found.choices) <= 256
 
 
+def satisfied(formula, held):
+    """Whether the licences held satisfy a formula of and, or and parentheses."""
+    return eval(" ".join(t if t in ("and", "or") else re.sub(r"[a-z0-9]+", lambda m: str(m[0] in held), t) for t in formula.split()))
+
+
+def test_choices_are_least_sets_or_the_exact_formula():
+    found = {k: license_scan.evaluate(license_scan.tokens(s)) for k, s in {
+        "absorbed": "a OR a AND b", "merged": " AND ".join(["(a OR b OR c)"] * 20), "factors": " AND ".join(f"(a{i} OR b{i})" for i in range(9)), "wide": " OR ".join(f"x{i}" for i in range(257)),
+    }.items()}
+    assert str(found["absorbed"]) == "a" and str(found["merged"]) == "a|b|c"
+    for taken in range(512):
+        held = {f"{'ab'[taken >> i & 1]}{i}" for i in range(9)}
+        assert satisfied(str(found["factors"]), held) and not satisfied(str(found["factors"]), held - {"a0", "b0"})
+    assert all(satisfied(str(found["wide"]), {f"x{i}"}) for i in range(257)) and not satisfied(str(found["wide"]), set())
+
+
 def test_phrases_against_word_lists(spark, sf):
     extra = ["Apache License cc by cc by", "CC-BY, apache\nlicense; MIT license mit license", "SPDX-License-Identifier: (MIT OR Apache-2.0)\nx", "CC BYé", "gnu general public license" * 2]
     df = documents(spark, sf).select("doc_id", "text").union(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
