@@ -44,20 +44,47 @@ def deletions(word: Column, distance: int = 2) -> Column:
     return found
 
 
+def _pieces(length: Column, distance: int) -> list[tuple[Column, Column]]:
+    """(start from 0, length) of the ``distance`` + 1 pieces of words of a length."""
+    cuts = [F.floor(length * k / (distance + 1)).cast("int") for k in range(distance + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _own_pieces(word: Column, distance: int) -> Column:
+    """Pieces of a dictionary word, with their number and the word's length."""
+    parts = _pieces(F.length(word), distance)
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.length(word).alias("n"), F.substring(word, a + 1, n).alias("piece")) for k, (a, n) in enumerate(parts)])
+
+
+def _met_pieces(word: Column, distance: int) -> Column:
+    """What the pieces of any word within ``distance`` can be: one of them is in the word as it is, moved by up to that."""
+    moves = range(-distance, distance + 1)
+    keys = [
+        F.struct(F.lit(k).alias("k"), (F.length(word) + more).alias("n"), F.substring(word, a + 1 + move, n).alias("piece"))
+        for more in moves
+        for k, (a, n) in enumerate(_pieces(F.length(word) + more, distance))
+        for move in moves
+    ]
+    return F.array_distinct(F.array(*keys))
+
+
 def dictionary_corrections(words: DataFrame, dictionary: DataFrame, keep: DataFrame | None = None, distance: int = 2, longest: int = 24) -> DataFrame:
     """(word) and (word, frequency) -> word, correction, distance for unknown words that have one.
 
     Candidates meet by equal deletions, an equi-join whose rows grow with the words' lengths and
     not with the product of the tables; the edit distance decides, then the frequency, then the
-    word. ``keep``: words (proper nouns) left as they are. Longer words than ``longest`` are left.
+    word. Words longer than ``longest`` meet by equal pieces instead, whose number is the same for
+    any length. ``keep``: words (proper nouns) left as they are.
     """
-    unknown = words.select("word").distinct().filter(F.length("word").between(2, longest)).join(dictionary.select("word"), "word", "left_anti")
+    unknown = words.select("word").distinct().filter(F.length("word") > 0).join(dictionary.select("word"), "word", "left_anti")
     if keep is not None:
         unknown = unknown.join(keep.select("word").distinct(), "word", "left_anti")
-    left = unknown.select("word", F.explode(deletions(F.col("word"), distance)).alias("key"))
-    known = dictionary.filter(F.length("word") <= longest + distance).select(F.col("word").alias("correction"), "frequency")
-    right = known.select("*", F.explode(deletions(F.col("correction"), distance)).alias("key"))
-    met = left.join(right, "key").select("word", "correction", "frequency").distinct()
+    known = dictionary.select(F.col("word").alias("correction"), "frequency")
+    left = unknown.filter(F.length("word") <= longest).select("word", F.explode(deletions(F.col("word"), distance)).alias("key"))
+    right = known.filter(F.length("correction") <= longest + distance).select("*", F.explode(deletions(F.col("correction"), distance)).alias("key"))
+    left_long = unknown.filter(F.length("word") > longest).select("word", F.explode(_met_pieces(F.col("word"), distance)).alias("key"))
+    right_long = known.filter(F.length("correction") > longest - distance).select("*", F.explode(_own_pieces(F.col("correction"), distance)).alias("key"))
+    met = left.join(right, "key").drop("key").union(left_long.join(right_long, "key").drop("key")).distinct()
     close = met.withColumn("distance", F.levenshtein("word", "correction", distance)).filter(F.col("distance").between(0, distance))
     order = Window.partitionBy("word").orderBy("distance", F.col("frequency").desc(), "correction")
     return close.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("word", "correction", "distance")

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import re
 import zipfile
 
@@ -280,6 +281,38 @@ def test_ocr_rules_on_every_whole_text(spark, sf, tmp_path):
     assert any(len(t) > 200 for t in docs.values()) and any(not t.isascii() for t in docs.values())
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_corrections_of_words_of_any_length(spark):
+    rng = random.Random(5)
+    known = {"".join(rng.choices("abc", k=n)): rng.randint(1, 9) for n in (1, 2, 3, 22, 23, 24, 25, 26, 27, 28, 40, 90) for _ in range(4)}
+    unknown = {"x", "b", "ab", "z" * 30}
+    for word in known:
+        for most in (1, 2, 3):
+            made = list(word)
+            for _ in range(most):
+                at = rng.randrange(len(made) + 1)
+                made[at : at + rng.randint(0, 1)] = rng.choices("abc", k=rng.randint(0, 1))
+            unknown.add("".join(made))
+    unknown -= set(known) | {""}
+    expected = {}
+    for word in unknown:
+        near = [(edits(word, k), -f, k) for k, f in known.items()]
+        if min(near)[0] <= 2:
+            expected[word] = (min(near)[2], min(near)[0])
+    words = spark.createDataFrame([(w,) for w in unknown], "word string")
+    found = correct.dictionary_corrections(words, spark.createDataFrame(list(known.items()), "word string, frequency long"))
+    assert {r.word: (r.correction, r.distance) for r in found.collect()} == expected
+    assert {len(w) > 24 for w in expected} == {True, False} and "x" in expected
+
+
 def test_entities_merge_and_relations(spark):
     assert entities.token_set_ratio("John Smith", "Smith, John") == 100 and entities.token_set_ratio("abc", "xyz") < 50
     rows = [("1", "John Smith", "PERSON"), ("2", "Smith, John", "PERSON"), ("3", "John Smith", "PERSON"), ("4", "John A. Smith", "PERSON"), ("5", "Johnson", "PERSON"), ("6", "John Smith", "ORG")]
