@@ -72,8 +72,35 @@ class Movie:
     frames: list[tuple[int, int]]
 
 
+def movie_frames(data: bytes, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Frames of a movi list in order, those in its 'rec ' lists too."""
+    lists = [chunks(data, start, end)]
+    while lists:
+        for name, a, b in lists[-1]:
+            if name == b"LIST" and data[a : a + 4] == b"rec ":
+                lists.append(chunks(data, a + 4, b))
+                break
+            if name[2:] in (b"dc", b"db") and b > a:
+                yield a, b
+        else:
+            lists.pop()
+
+
+def further_frames(data: bytes, place: int) -> Iterator[tuple[int, int]]:
+    """Frames of the AVIX segments (OpenDML) that follow the first RIFF chunk."""
+    while data[place : place + 4] == b"RIFF":
+        end = place + 8 + struct.unpack_from("<I", data, place + 4)[0]
+        if end > len(data):
+            raise AviError("a RIFF chunk runs over the data")
+        if data[place + 8 : place + 12] == b"AVIX":
+            for name, a, b in chunks(data, place + 12, end):
+                if name == b"LIST" and data[a : a + 4] == b"movi":
+                    yield from movie_frames(data, a + 4, b)
+        place = end + end % 2
+
+
 def read_avi(data: bytes) -> Movie:
-    """Header and frame places of a container; frames by index, else by walking movi."""
+    """Header and frame places of a container; frames by index, else by walking movi, then those of AVIX segments."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise AviError("no AVI container")
     rate, width, height, movi, index, codec = 0.0, 0, 0, None, None, b""
@@ -106,7 +133,8 @@ def read_avi(data: bytes) -> Movie:
                 place = movi[0] + offset if data[movi[0] + offset : movi[0] + offset + 4] == name else offset
                 frames.append((place + 8, place + 8 + size))
     else:
-        frames = [(a, b) for name, a, b in chunks(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db") and b > a]
+        frames = list(movie_frames(data, movi[0] + 4, movi[1]))
+    frames += further_frames(data, end + end % 2)
     if any(b > len(data) for _, b in frames):
         raise AviError("an index entry runs over the data")
     return Movie(rate or float(RATE), width, height, frames)

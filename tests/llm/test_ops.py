@@ -172,6 +172,19 @@ def test_grey_frames_and_shots(spark):
     assert all(r.error for r in found if r.id != 1) and {r.id for r in found} == {1, 2, 3, 4}
 
 
+def test_frames_of_further_segments_and_rec_lists():
+    frames = [avi._chunk(b"00dc", grey(v)) for v in (40, 90, 200)]
+    plain = avi.write_avi([grey(40)], 16, 16)
+    head = plain[12 : plain.index(b"LIST", plain.index(b"strf"))]
+    recs = avi._list(b"rec ", frames[0] + avi._list(b"rec ", frames[1])) + frames[2]
+    more = b"".join(avi._chunk(b"RIFF", b"AVIX" + avi._list(b"movi", body)) for body in (recs, frames[1]))
+    walked = avi._chunk(b"RIFF", b"AVI " + head + avi._list(b"movi", recs))
+    for data, levels in ((walked, [40, 90, 200]), (plain + more, [40, 40, 90, 200, 90]), (walked + more, [40, 90, 200] * 2 + [90])):
+        assert [data[a:b] for a, b in avi.read_avi(data).frames] == [grey(v) for v in levels]
+    with pytest.raises(avi.AviError):
+        avi.read_avi((plain + more)[:-8])
+
+
 def test_media_digests(spark):
     df = awkward(spark)
     texts = {r.doc_id: (r.text or "").encode() for r in df.collect()}
