@@ -246,10 +246,11 @@ def store_documents(documents: DataFrame) -> DataFrame:
 
 
 def feature(movie: Movie, clips: list[Clip]) -> str:
-    """Frames, clips, their ends in seconds (16 at most, then the number left) and luma, as text."""
+    """Frames, clips, their ends in seconds (16 at most, then the number left), luma and a digest of all ends, as text."""
     ends = ",".join(f"{c.end_s:.2f}" for c in clips[:16]) + (f",+{len(clips) - 16}" if len(clips) > 16 else "")
     luma = sum(c.luma * (c.end_frame - c.start_frame) for c in clips) / max(1, len(movie.frames))
-    return f"frames={len(movie.frames)};clips={len(clips)};ends={ends};luma={luma:.3f}"
+    every = hashlib.sha256(",".join(str(c.end_frame) for c in clips).encode()).hexdigest()[:16]
+    return f"frames={len(movie.frames)};clips={len(clips)};ends={ends};luma={luma:.3f};all_ends={every}"
 
 
 def op4_avi_media(documents: DataFrame) -> DataFrame:

@@ -185,6 +185,15 @@ def test_frames_of_further_segments_and_rec_lists():
         avi.read_avi((plain + more)[:-8])
 
 
+def test_features_tell_late_clips_apart():
+    def clips(*ends):
+        return [avi.Clip(a, b, a / 25, b / 25, 100.0, 0.0) for a, b in zip((0, *ends), ends)]
+
+    movie, early = avi.Movie(25.0, 16, 16, [(0, 1)] * 60), tuple(range(2, 36, 2))
+    assert avi.feature(movie, clips(*early, 40, 60)) != avi.feature(movie, clips(*early, 50, 60))
+    assert avi.feature(movie, clips(*early, 40, 60)) == avi.feature(movie, clips(*early, 40, 60))
+
+
 def test_media_digests(spark):
     df = awkward(spark)
     texts = {r.doc_id: (r.text or "").encode() for r in df.collect()}
