@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from docflow.llm.quality import CELLS, UNIT, QualityParams
+
 #: Lower-case A-Z only; MD5 and SHA-256 are of UTF-8 text in both engines.
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -43,7 +45,54 @@ c AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 
+
+
+def _quality() -> str:
+    """Text statistics, counts on labelled rows, sites and scores, one common table each."""
+    gaps = r"[\x20\x09-\x0D]+"
+    kinds = (r"[!#$%&*+/<=>@\[\\\]^_`{|}~]", "[A-Z]", "[0-9]", "[.,;:]")
+    share = lambda count, of, scale: f"CASE WHEN {of} > 0 THEN ({count}) * {scale} // ({of}) ELSE 0 END"
+    values = [share(f"strlen(t) - strlen(regexp_replace(t, '{k}', '', 'g'))", "strlen(t)", 1000) for k in kinds]
+    values += [share("strlen(array_to_string(w, ''))", "len(w)", 10), share("len(list_distinct(w))", "len(w)", 100), share("len(list_distinct(l))", "len(l)", 100), "len(w)"]
+    cells = ", ".join(f"len(list_filter({list(marks)}, lambda m: m <= {v}))" for marks, v in zip(CELLS.values(), values, strict=True))
+    p, u = QualityParams(), float(UNIT)
+    rate = "({k} * {up} + ({s} - p) / {u}) / ({k} + {n} - 1)"
+    strength = f"""CASE WHEN n <= k OR k <= up OR spread <= 0 OR (own - above) / (k - up) <= within THEN {p.most}
+      ELSE least({p.most}, greatest({p.least}, within / (((own - above) / (k - up) - within) / (spread / (k - up))))) END::DOUBLE"""
+    moments = "sum(n)::DOUBLE AS n, count(*)::DOUBLE AS k, sum(q)::DOUBLE AS q, sum(s * s / n)::DOUBLE AS own"
+    return f"""
+WITH x AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+y AS (SELECT *, list_filter(regexp_split_to_array(t, '{gaps}'), lambda z: z <> '') AS w, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(t, chr(10)) END AS l FROM x),
+c AS (SELECT rid, doc_id, source, lang, coalesce(substr(md5(doc_id::VARCHAR), 1, 1) IN ('2', '6', 'a', 'e'), false) AS held_out, [{cells}] AS cells FROM y),
+f AS (SELECT *, generate_subscripts(cells, 1) AS k, unnest(cells) AS cell FROM c),
+labelled AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+counted AS (SELECT k, cell, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b FROM f JOIN labelled USING (doc_id) WHERE NOT held_out GROUP BY 1, 2),
+every AS (SELECT sum(g)::DOUBLE AS g, sum(b)::DOUBLE AS b FROM counted WHERE k = 1),
+ratio AS (SELECT k, cell, ln((o.g + {p.smoothing} * e.g / (e.g + e.b)) / e.g) - ln((o.b + {p.smoothing} * e.b / (e.g + e.b)) / e.b) AS r FROM counted o, every e),
+scored AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(lang) AS lang, any_value(held_out) AS held_out, sum(coalesce(r, 0) ORDER BY f.k) AS evidence FROM f LEFT JOIN ratio ON f.k = ratio.k AND f.cell = ratio.cell GROUP BY rid),
+s AS (SELECT *, round({u} / (1 + exp(-(evidence + (SELECT ln(g / b) FROM every)))))::BIGINT AS p FROM scored),
+paths AS (SELECT source, lang, count(*)::DOUBLE AS n, sum(p) / {u} AS s, sum(p::HUGEINT * p)::DOUBLE / ({u} * {u}) AS q FROM s GROUP BY 1, 2),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(p) / {u} AS s, sum(p::HUGEINT * p)::DOUBLE / ({u} * {u}) AS q FROM s GROUP BY 1),
+mean AS (SELECT sum(p) / count(*) / {u} AS m FROM s),
+h AS (SELECT {moments}, 1.0 AS up, sum(s) * sum(s) / sum(n) AS above, sum(n) - sum(n * n) / sum(n) AS spread FROM hosts WHERE source IS NOT NULL),
+host_strength AS (SELECT {strength} AS v FROM (SELECT *, greatest(0.0, q - own) / (n - k) AS within FROM h)),
+o AS (SELECT source, sum(n) AS n, sum(s) AS s, sum(n * n) AS nn FROM paths WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1),
+oo AS (SELECT count(*)::DOUBLE AS up, sum(s * s / n) AS above, sum(nn / n) AS nn FROM o),
+pp AS (SELECT {moments} FROM paths WHERE source IS NOT NULL AND lang IS NOT NULL),
+path_strength AS (SELECT {strength} AS v FROM (SELECT *, n - nn AS spread, greatest(0.0, q - own) / (n - k) AS within FROM pp, oo)),
+j AS (SELECT s.*, hosts.n AS host_n, hosts.s * {u} AS host_s, paths.n AS path_n, paths.s * {u} AS path_s, host_strength.v AS hk, path_strength.v AS pk, m
+  FROM s JOIN hosts ON s.source IS NOT DISTINCT FROM hosts.source JOIN paths ON s.source IS NOT DISTINCT FROM paths.source AND s.lang IS NOT DISTINCT FROM paths.lang, host_strength, path_strength, mean),
+r AS (SELECT *, CASE WHEN source IS NULL THEN m ELSE {rate.format(k="hk", up="m", s="host_s", u=u, n="host_n")} END AS host_rate FROM j),
+z AS (SELECT *, CASE WHEN source IS NULL OR lang IS NULL THEN host_rate ELSE {rate.format(k="pk", up="host_rate", s="path_s", u=u, n="path_n")} END AS path_rate FROM r),
+e AS (SELECT *, least(greatest(path_rate, 1e-6), 1 - 1e-6) AS prior FROM z)
+SELECT doc_id, held_out, round(evidence, 6) AS evidence, CASE WHEN source IS NULL THEN 0 ELSE host_n END::BIGINT AS host_rows, round(host_rate, 6) AS host_rate,
+  CASE WHEN source IS NULL OR lang IS NULL THEN 0 ELSE path_n END::BIGINT AS path_rows, round(path_rate, 6) AS path_rate,
+  round(1 / (1 + exp(-(evidence + ln(prior / (1 - prior))))), 6) AS score, round(1 / (1 + exp(-(evidence + ln(prior / (1 - prior))))), 6) >= {p.threshold} AS kept FROM e
+"""
+
+
 SQL = {
+    "op3_quality_bayes": _quality(),
     "op8_exact_dedup": OP8,
     "op10_systematic_mix": OP10,
 }

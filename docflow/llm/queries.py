@@ -14,6 +14,7 @@ from docflow.llm import oracles
 MODULES = {
     "op1_hilbert_shards": "hilbert",
     "op2_language_id": "language_id",
+    "op3_quality_bayes": "quality",
     "op4_avi_media": "avi",
     "op5_license_scan": "license_scan",
     "op6_bpe_tree": "bpe_tree",
@@ -24,9 +25,13 @@ MODULES = {
 }
 
 
+#: Tables that a query reads beside documents.
+TABLES = {"op3_quality_bayes": ("labels",)}
+
+
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     operator = getattr(import_module(f"docflow.llm.{MODULES[name]}"), name)
-    return operator(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return operator(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", *TABLES.get(name, ()))])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
