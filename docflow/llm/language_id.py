@@ -4,7 +4,9 @@ Texts are compared by a blended-spectrum presence kernel: the number of distinct
 several lengths that both hold, normalised by the numbers each holds. Grams are hashed to a fixed
 number of bins. Landmarks drawn from the labelled rows give a Nyström approximation, on which
 one-versus-rest kernel ridge regression is solved; a batch of texts is scored by two matrix
-products (texts x bins by bins x landmarks, then by landmarks x languages).
+products (texts x bins by bins x landmarks, then by landmarks x languages). How much of a text's
+grams its language's rows know tells texts of no learned language; the least share to accept is
+calibrated on labelled rows that took no part in the profile they are held against.
 """
 
 from __future__ import annotations
@@ -28,7 +30,11 @@ _MIX = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 
 @dataclass(frozen=True)
 class KernelParams:
-    """rows_per_language and rows_in_all bound the labelled rows that the fit uses."""
+    """rows_per_language and rows_in_all bound the labelled rows that the fit uses.
+
+    A language knows the grams that ``known_share`` of its rows hold. The least share of known grams
+    is ``slack`` times that under which ``reject_share`` of labelled rows lie.
+    """
 
     bins_log2: int = 13
     grams: tuple[int, ...] = (1, 2, 3)
@@ -38,15 +44,21 @@ class KernelParams:
     ridge: float = 1e-3
     batch_bytes: int = 4 << 20
     batch_rows: int = 256
+    known_share: float = 0.02
+    reject_share: float = 0.001
+    slack: float = 0.9
 
 
 @dataclass(frozen=True)
 class KernelModel:
-    """weights: landmarks x languages, on kernel values with the landmarks' gram rows."""
+    """weights: landmarks x languages, on kernel values with the landmarks' gram rows; profile:
+    languages x bins, the grams that a language knows; least: share of known grams to accept."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    profile: np.ndarray
+    least: float
     params: KernelParams
 
 
@@ -89,6 +101,32 @@ def kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left @ right.T) / np.maximum(norm, 1e-9)
 
 
+def known_grams(flags: np.ndarray, which: np.ndarray, count: int, share: float) -> np.ndarray:
+    """0/1 rows, one a language: the bins that ``share`` of its rows hold, and one row at least."""
+    out = np.zeros((count, flags.shape[1]), dtype=np.uint8)
+    for k in range(count):
+        own = flags[which == k]
+        out[k] = own.sum(0, dtype=np.int64) >= max(1.0, share * len(own))
+    return out
+
+
+def least_known(flags: np.ndarray, which: np.ndarray, count: int, params: KernelParams) -> float:
+    """The share of known grams to accept, from rows held against profiles of the other half.
+
+    0, which accepts all, where no language has two rows.
+    """
+    half = np.zeros(len(which), dtype=bool)
+    for k in range(count):
+        half[np.flatnonzero(which == k)[1::2]] = True
+    shares = []
+    for side in (half, ~half):
+        profile = known_grams(flags[~side], which[~side], count, params.known_share)
+        tried = side & np.isin(which, which[~side])
+        shares.append((flags[tried] & profile[which[tried]]).sum(1, dtype=np.int64) / flags[tried].sum(1, dtype=np.int64))
+    shares = np.concatenate(shares)
+    return params.slack * float(np.quantile(shares, params.reject_share)) if len(shares) else 0.0
+
+
 def labelled_sample(labelled: DataFrame, params: KernelParams) -> DataFrame:
     """A bounded sample of (doc_id, text, lang): per language the rows of least hash of doc_id.
 
@@ -96,7 +134,8 @@ def labelled_sample(labelled: DataFrame, params: KernelParams) -> DataFrame:
     language, and each window's limit is pushed below its shuffle; so no task meets more than a
     few thousand narrow rows of a hot language. The texts of the chosen ids (``rows_in_all`` at
     most, so they are broadcast) come from a second scan. Languages beyond ``rows_in_all`` rows
-    in all are thinned evenly: each keeps its first rows. Rows without doc_id are not chosen;
+    in all are thinned evenly: each keeps its first rows; of more than ``rows_in_all`` languages
+    the first by name are learned and texts of the others are told as one of those or rejected. Rows without doc_id are not chosen;
     of rows with the same doc_id and language the least text is.
     """
     key = F.xxhash64("doc_id")
@@ -134,7 +173,8 @@ def fit(labelled: DataFrame, params: KernelParams = KernelParams()) -> KernelMod
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})
-    flags = np.stack([np.unpackbits(np.frombuffer(r.flags, dtype=np.uint8)) for r in rows]).astype(np.float32)
+    bits = np.stack([np.unpackbits(np.frombuffer(r.flags, dtype=np.uint8)) for r in rows])
+    flags = bits.astype(np.float32)
     which = np.array([languages.index(r.lang) for r in rows])
     # Landmarks: the same number of each language, spread over its rows.
     each = max(1, params.landmarks // len(languages))
@@ -146,35 +186,38 @@ def fit(labelled: DataFrame, params: KernelParams = KernelParams()) -> KernelMod
     among = kernel(flags[picks], flags[picks]).astype(np.float64)
     weighed = left * share[:, None]
     solved = np.linalg.lstsq(weighed.T @ left + params.ridge * len(rows) * among, weighed.T @ targets, rcond=None)[0]
-    return KernelModel(languages, flags[picks].astype(np.uint8), solved.astype(np.float32), params)
+    profile, least = known_grams(bits, which, len(languages), params.known_share), least_known(bits, which, len(languages), params)
+    return KernelModel(languages, bits[picks], solved.astype(np.float32), profile, least, params)
 
 
-def predict(texts: list[str | None], model: KernelModel | None) -> tuple[list[str], list[float]]:
-    """Language and score of each text. ``und`` and 0 for null, a text without letters, no model.
+def predict(texts: list[str | None], model: KernelModel | None) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and known share of each text. ``und`` and 0 for null, a text without letters, no model.
 
     The score is the probability-like share of the best language: the ridge outputs (about 1 for
-    the language, -1 for the others) through a softmax.
+    the language, -1 for the others) through a softmax. The known share is that of the text's
+    grams which the language's labelled rows know.
     """
-    names, scores = ["und"] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
-    if not known:
-        return names, scores
+    names, scores, known = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+    if not lettered:
+        return names, scores, known
     p = model.params
-    right = model.landmarks.astype(np.float32)
+    right, profile = model.landmarks.astype(np.float32), model.profile.astype(np.float32)
     norm = np.sqrt(right.sum(1))
-    for i, j in by_bytes(known, lambda k: len(texts[k]), p.batch_bytes):
+    for i, j in by_bytes(lettered, lambda k: len(texts[k]), p.batch_bytes):
         for a in range(i, j, p.batch_rows):
-            rows = known[a : min(j, a + p.batch_rows)]
+            rows = lettered[a : min(j, a + p.batch_rows)]
             flags = gram_presence([letters_only(texts[k]) for k in rows], p).astype(np.float32)
-            held = np.sqrt(flags.sum(1))
-            values = (flags @ right.T) / np.maximum(held[:, None] * norm[None, :], 1e-9)
+            held = flags.sum(1)
+            values = (flags @ right.T) / np.maximum(np.sqrt(held)[:, None] * norm[None, :], 1e-9)
             out = values @ model.weights
             soft = np.exp(3.0 * (out - out.max(1, keepdims=True)))
-            best = out.argmax(1)
-            top = soft[np.arange(len(rows)), best] / soft.sum(1)
-            for k, b, s in zip(rows, best, top, strict=True):
-                names[k], scores[k] = model.languages[b], float(min(1.0, max(0.0, s)))
-    return names, scores
+            best, all_rows = out.argmax(1), np.arange(len(rows))
+            top = soft[all_rows, best] / soft.sum(1)
+            share = (flags @ profile.T)[all_rows, best] / np.maximum(held, 1)
+            for k, b, s, own in zip(rows, best, top, share, strict=True):
+                names[k], scores[k], known[k] = model.languages[b], float(min(1.0, max(0.0, s))), float(own)
+    return names, scores, known
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -183,7 +226,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def identify(documents: DataFrame, model: KernelModel | None, columns: list[str]) -> DataFrame:
-    """``columns`` of documents (long, boolean or string) with lang_pred and score.
+    """``columns`` of documents (long, boolean or string) with lang_pred, score and known.
 
     Null and letterless texts give ``und``; texts of any length are read whole; repeated rows
     get equal answers; the model (under 2 MB at the default parameters) goes with the task.
@@ -192,12 +235,12 @@ def identify(documents: DataFrame, model: KernelModel | None, columns: list[str]
     shared = spark.sparkContext.broadcast(model)
     kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
     types = dict(documents.select(*columns).dtypes)
-    out = pa.schema([*((c, kinds[types[c]]) for c in columns), ("lang_pred", pa.string()), ("score", pa.float64())])
-    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", lang_pred string, score double"
+    out = pa.schema([*((c, kinds[types[c]]) for c in columns), ("lang_pred", pa.string()), ("score", pa.float64()), ("known", pa.float64())])
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", lang_pred string, score double, known double"
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        names, scores = predict(batch.column(len(columns)).to_pylist(), shared.value)
-        return {c: batch.column(k) for k, c in enumerate(columns)} | {"lang_pred": names, "score": scores}
+        names, scores, known = predict(batch.column(len(columns)).to_pylist(), shared.value)
+        return {c: batch.column(k) for k, c in enumerate(columns)} | {"lang_pred": names, "score": scores, "known": known}
 
     return map_rows(documents, [*columns, "text"], schema, work, out)
 
@@ -207,19 +250,22 @@ def fit_documents(documents: DataFrame, params: KernelParams = KernelParams()) -
 
 
 def op2_language_id(documents: DataFrame, params: KernelParams = KernelParams()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; held-out rows are never learned from."""
+    """doc_id, held_out, lang_pred, score, known of every document; held-out rows are never learned from."""
     model = fit_documents(documents, params)
     narrow = documents.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     return identify(narrow, model, ["doc_id", "held_out"])
 
 
-def keep_identified(documents: DataFrame, least: float = 1.05) -> DataFrame:
-    """Documents in a learned language: rejects ``und`` and texts whose score is no better than
-    ``least`` times that of a guess (one over the number of languages).
+def keep_identified(documents: DataFrame) -> DataFrame:
+    """Documents in a learned language: rejects ``und`` and texts of whose grams too few are known.
 
-    All columns and rows stay as they are otherwise. The model is fitted on the table's own
-    labelled rows that are not held out; with no labelled row there is no language to tell, and
-    only texts without letters go.
+    The least share of known grams comes from the labelled rows (`least_known`): about one in a
+    thousand of texts in a learned language would lie under it without the slack. Random letters
+    and languages that were not learned know few grams of any language and go; texts of a few
+    words of a learned language stay. All columns and rows stay as they are otherwise: a stage
+    returns the columns of documents, so predictions are not written over ``lang``, which later
+    stages do not read. The model is fitted on the table's own labelled rows that are not held
+    out; with no labelled row there is no language to tell, and only texts without letters go.
     """
     model = fit_documents(documents)
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -230,9 +276,8 @@ def keep_identified(documents: DataFrame, least: float = 1.05) -> DataFrame:
             if shared.value is None:
                 keep = [bool(t and _LETTER.search(t)) for t in texts]
             else:
-                names, scores = predict(texts, shared.value)
-                guess = least / len(shared.value.languages) if len(shared.value.languages) > 1 else 0.0
-                keep = [n != "und" and s >= guess for n, s in zip(names, scores, strict=True)]
+                names, _, known = predict(texts, shared.value)
+                keep = [n != "und" and k >= shared.value.least for n, k in zip(names, known, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     small_batches(documents.sparkSession)
