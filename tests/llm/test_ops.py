@@ -401,8 +401,8 @@ def test_index_persists_and_grows(spark):
 def test_jobs_anti_join_with_the_index(spark, monkeypatch, job):
     asked, unseen = [], digest_index.DigestIndex.unseen
 
-    def watched(index, groups):
-        fresh = unseen(index, groups)
+    def watched(index, groups, attempt):
+        fresh = unseen(index, groups, attempt)
         asked.append((fresh._jdf.queryExecution().executedPlan().toString(), groups.count(), fresh.count()))
         return fresh
 
@@ -416,6 +416,32 @@ def test_jobs_anti_join_with_the_index(spark, monkeypatch, job):
         assert {r.text_sha256: (r.keep_id, r.group_size) for r in found} == {hashlib.sha256(t).hexdigest(): v for t, v in ((b"a", (3, 2)), (b"b", (2, 2)), (b"c", (4, 2)), (b"d", (None, 1)))}
 
 
+def test_a_run_can_fail_and_be_repeated(spark, monkeypatch):
+    """Digests of an attempt that was not committed count for nothing; a committed run is not done again."""
+    path = new_path(spark, "index-test")
+    first, second = table(spark, [(1, "a"), (2, "b")]), table(spark, [(3, "b"), (4, "c"), (5, "c")])
+    say = lambda df: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in rows_of(df)}
+    with digest_index.DigestIndex(spark, path, 4) as index:
+        digest_index.deduplicate(first, index, "first")
+
+    def lost(*_):
+        raise OSError("the driver is lost")
+
+    with monkeypatch.context() as broken, pytest.raises(OSError), digest_index.DigestIndex(spark, path, 4) as index:
+        broken.setattr(digest_index, "join_groups", lost)
+        digest_index.deduplicate(second, index, "second")
+    expected = {3: (2, 1, False), 4: (5, 2, False), 5: (5, 2, True)}
+    before = len(spark.catalog.listTables())
+    for _ in range(2):
+        with digest_index.DigestIndex(spark, path, 4) as index:
+            assert say(digest_index.deduplicate(second, index, "second")) == expected
+    with digest_index.DigestIndex(spark, path, 4) as index:
+        assert sorted((r.keep_id) for r in rows_of(index.read())) == [1, 2, 5]
+        assert say(digest_index.deduplicate(first, index, "first")) == {1: (1, 1, True), 2: (2, 1, True)}
+        assert say(digest_index.deduplicate(first, index)) == {1: (1, 1, False), 2: (2, 1, False)}
+    assert len(spark.catalog.listTables()) == before
+
+
 def test_dropping_copies_leaves_one_of_each(spark):
     unique = table(spark, [(1, "A b"), (2, "a B"), (3, "c"), (4, None), (5, "")])
     assert sorted(r.doc_id for r in rows_of(digest_index.drop_copies(clashing(unique)))) == [2, 3, 5]
