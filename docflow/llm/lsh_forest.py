@@ -2,12 +2,14 @@
 
 Each document's shingle set gets MinHash values; a tree orders documents by a label of several
 values, and each of the forest's trees by others. Documents that share a label's head (its first
-``head`` values) form a region; within it, the order by the deeper values makes neighbours those
-with the longest common prefix. Crowded regions are cut deeper. Neighbours whose labels agree
-enough are joined into clusters (connected components of linearly many edges), and inside a
-cluster every pair is compared on full sets, in blocks. So the forest only has to bring the
-members of a link into one cluster: there is no cap on partners, and no candidate pair is
-written out.
+``head`` values) form a region; in it, a row's neighbours in the order are those with the longest
+common prefix, so the depth at which rows meet adapts to how crowded their part of the region is.
+The trees' orders are one range-partitioned sort, which no region, however large, can skew.
+Neighbours whose labels agree enough are joined into clusters (connected components of linearly
+many edges), and inside a cluster pairs are compared on full sets. So the forest only has to bring
+the members of a link into one cluster: there is no cap on partners, and no candidate pair is
+written out. A cluster of many documents is compared in blocks, and only where it can matter:
+between sets of like size, and not inside what is linked already.
 """
 
 from __future__ import annotations
@@ -37,10 +39,11 @@ class ForestParams:
     """Links have 100 * intersection >= ``percent`` * union of sets of ``width``-word shingles.
 
     With similarity s, a tree brings a pair into one region with probability s ** head; at 0.8,
-    four values and 32 trees, all trees miss it once in 20 million. ``agree`` of the LEVELS
-    deeper values must be equal for neighbours to be joined (under 5 of 16 happens to a pair at
-    0.8 with probability 3e-6 a tree). ``block`` documents or ``block_shingles`` shingles of a
-    cluster are compared with as many others in one task, which bounds its memory.
+    four values and 32 trees, no tree does once in 20 million. A pair of a region is joined by the rows
+    between them in the order, ``back`` neighbours each, where ``agree`` of the LEVELS deeper values
+    are equal (under 5 of 16 happens to a pair at 0.8 with probability 3e-6 a tree).
+    ``block`` documents or ``block_shingles`` shingles of a cluster are compared with as many
+    others in one task, which bounds its memory.
     """
 
     width: int = 2
@@ -88,33 +91,65 @@ def sketches(documents: DataFrame, params: ForestParams) -> DataFrame:
     return map_rows(narrow, ["doc_id", "text"], "doc_id long, n_shingles long, cls binary, heads array<long>, low binary", work, out)
 
 
+#: A row's key in the trees' orders: a byte for the tree, eight for the label's head, LEVELS below.
+_KEY = 9 + LEVELS
+
+
 def _agreement(left: Column, right: Column) -> Column:
-    """How many of the LEVELS bytes of two labels are equal."""
-    same = [F.when(F.substring(left, k, 1) == F.substring(right, k, 1), 1).otherwise(0) for k in range(1, LEVELS + 1)]
+    """How many of the LEVELS last bytes of two keys are equal."""
+    same = [F.when(F.substring(left, k, 1) == F.substring(right, k, 1), 1).otherwise(0) for k in range(10, _KEY + 1)]
     return sum(same[1:], same[0])
 
 
+def _neighbours(keys: np.ndarray, reps: np.ndarray, known: int, params: ForestParams) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at most ``back`` apart in the order, of one region, with labels that agree enough.
+
+    The first ``known`` rows are carried over from before: pairs among them are left out.
+    """
+    left, right = [], []
+    for k in range(1, params.back + 1):
+        i = max(k, known)
+        same = keys[i:] == keys[i - k : max(0, len(keys) - k)]
+        near = same[:, :9].all(1) & (same[:, 9:].sum(1) >= params.agree)
+        left.append(reps[i:][near])
+        right.append(reps[i - k : max(0, len(reps) - k)][near])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def forest_edges(reps: DataFrame, params: ForestParams) -> DataFrame:
-    """(a, b) edges between neighbours in the trees' orders; linearly many."""
+    """(a, b) edges between neighbours in the trees' orders; linearly many.
+
+    One shuffle deals the rows by ranges of (key, rep), so that neither a crowded region nor many
+    equal labels meet in one task. Neighbours inside a range come from one pass over it. The
+    first and last ``back`` rows of the ranges are put in order once more, for neighbours across
+    ranges; how rows are dealt takes no candidate away.
+    """
+    p = params
     rows = reps.select("rep", "low", F.posexplode("heads").alias("tree", "top"))
-    rows = rows.select("rep", "tree", "top", F.expr(f"substring(low, {params.head} * tree + {params.head + 1}, {LEVELS})").alias("label"))
-    # Crowded regions, estimated from a sixteenth of the documents, are cut by deeper values: one
-    # level for each doubling over the limit. This only deals the work out; a region's first rows
-    # are joined across its cuts below.
-    few = rows.filter(F.pmod(F.xxhash64("rep"), F.lit(16)) == 0).groupBy("tree", "top").agg(F.count(F.lit(1)).alias("n"))
-    limit = max(64, reps.count() // (16 * 50))
-    crowded = few.filter(F.col("n") > limit).select("tree", "top", F.least(F.lit(LEVELS // 2), 1 + F.floor(F.log2(F.col("n") / limit))).cast("int").alias("depth"))
-    cut = rows.join(F.broadcast(crowded), ["tree", "top"], "left").withColumn("cut", F.expr(f"CASE WHEN depth IS NULL THEN X'' ELSE substring(label, 1, depth) END"))
-    order = Window.partitionBy("tree", "top", "cut").orderBy("label", "rep")
-    neighbours = [F.lag(F.struct("rep", "label"), k).over(order) for k in range(1, params.back + 1)]
-    placed = cut.withColumn("before", F.array(*neighbours))
-    near = placed.filter(F.col("before")[0].isNotNull()).withColumn("other", F.explode("before")).filter("other IS NOT NULL")
-    inside = near.select("rep", "label", F.col("other.rep").alias("rep2"), F.col("other.label").alias("label2"))
-    heads = placed.filter(F.col("depth").isNotNull() & F.col("before")[0].isNull())
-    across = Window.partitionBy("tree", "top").orderBy("label", "rep")
-    firsts = heads.withColumn("other", F.lag(F.struct("rep", "label")).over(across)).filter("other IS NOT NULL")
-    pairs = inside.unionByName(firsts.select("rep", "label", F.col("other.rep").alias("rep2"), F.col("other.label").alias("label2")))
-    return pairs.filter(_agreement(F.col("label"), F.col("label2")) >= params.agree).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    key = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.unhex(F.lpad(F.hex("top"), 16, "0")), F.expr(f"substring(low, {p.head} * tree + {p.head + 1}, {LEVELS})"))
+    ordered = rows.select(key.alias("key"), "rep").repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, reps, ends = np.empty((0, _KEY), dtype=np.uint8), np.empty(0, dtype=np.int64), []
+        for batch in slices(batches):
+            known = len(reps)
+            keys = np.concatenate([keys, np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, _KEY)])
+            reps = np.concatenate([reps, batch.column(1).to_numpy()])
+            a, b = _neighbours(keys, reps, known, p)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], schema=out)
+            more = slice(known, known + max(0, p.back - len(ends)))
+            ends += zip(reps[more].tolist(), map(bytes, keys[more]), strict=True)
+            keys, reps = keys[-p.back :], reps[-p.back :]
+        ends = sorted({*ends, *zip(reps.tolist(), map(bytes, keys), strict=True)})
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in ends], pa.int64()), pa.nulls(len(ends), pa.int64()), pa.array([k for _, k in ends], pa.binary())], schema=out)
+
+    found = staged(ordered.mapInArrow(work, "a long, b long, key binary"), "edges")
+    order = Window.partitionBy(F.substring("key", 1, 9)).orderBy("key", "a")
+    ends = found.filter("key IS NOT NULL").select("key", "a")
+    across = ends.withColumn("before", F.array(*[F.lag(F.struct("a", "key"), k).over(order) for k in range(1, p.back + 1)]))
+    across = across.withColumn("other", F.explode("before")).filter(F.col("other").isNotNull() & (_agreement(F.col("key"), F.col("other.key")) >= p.agree))
+    return found.filter("key IS NULL").select("a", "b").unionByName(across.select("a", F.col("other.a").alias("b")))
 
 
 def _linked(ids: np.ndarray, sets: list[np.ndarray], first: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,30 +213,25 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield held
 
 
-def cluster_links(documents: DataFrame, clusters: DataFrame, params: ForestParams) -> tuple[DataFrame, bool]:
-    """Links of all pairs in each cluster as forests (a, b), and whether a cluster has many blocks.
+def _compared(documents: DataFrame, tasks: DataFrame, params: ForestParams) -> DataFrame:
+    """Links of the tasks as forests (a, b), staged.
 
-    ``clusters``: (rep, cluster, n, held). A cluster of n documents that hold so many shingles is
-    dealt by hash into blocks of about ``block`` documents and ``block_shingles`` shingles at most, and
-    each pair of blocks is one task; a document's set is sent to as many tasks as its cluster
-    has blocks. Small clusters are one task each.
+    ``tasks``: (rep, cluster, own, others): a document of a block, and the blocks of its cluster
+    that it is compared with, itself perhaps. Each pair of blocks is one task, and a document's
+    set is sent to as many as it has ``others``.
     """
-    p = params
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / p.block), F.ceil(F.col("held") / p.block_shingles)).cast("int")
-    placed = clusters.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    many = placed.filter("blocks > 1").limit(1).count() > 0
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("rep", "cluster", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    # Only texts that the clusters' bit set lets through are read into sets and shuffled.
-    texts = maybe_in(documents.select(F.col("doc_id").cast("long"), "text"), clusters.select("rep"), "doc_id", "_maybe").filter("_maybe")
+    dealt = tasks.withColumn("other", F.explode("others"))
+    dealt = dealt.select("rep", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    # Only texts that the tasks' bit set lets through are read into sets and shuffled.
+    texts = maybe_in(documents.select(F.col("doc_id").cast("long"), "text"), tasks.select("rep"), "doc_id", "_maybe").filter("_maybe")
     out = pa.schema([("rep", pa.int64()), ("set", pa.binary())])
 
     def sets(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"rep": batch.column(0), "set": [shingle_set(t, p.width).tobytes() for t in utf8(batch.column(1))]}
+        return {"rep": batch.column(0), "set": [shingle_set(t, params.width).tobytes() for t in utf8(batch.column(1))]}
 
     found = map_rows(texts, ["doc_id", "text"], "rep long, set binary", sets, out)
     parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = tasks.join(found, "rep").repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+    met = dealt.join(found, "rep").repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
     linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +239,60 @@ def cluster_links(documents: DataFrame, clusters: DataFrame, params: ForestParam
             own = group["set"]
             if len(own) > 1:
                 first = group["side"].index(1) if 1 in group["side"] else 0
-                a, b = _linked(np.array(group["rep"], dtype=np.int64), own, first, p.percent)
+                a, b = _linked(np.array(group["rep"], dtype=np.int64), own, first, params.percent)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=linked)
 
-    return staged(dealt.mapInArrow(compare, "a long, b long"), "links"), many
+    return staged(met.mapInArrow(compare, "a long, b long"), "links")
+
+
+def _blocks(n: str, held: str, params: ForestParams) -> Column:
+    """Blocks that so many documents with so many shingles are dealt into; none for none."""
+    return F.greatest(F.ceil(F.col(n) / params.block), F.ceil(F.col(held) / params.block_shingles)).cast("int")
+
+
+def large_cluster_links(documents: DataFrame, large: DataFrame, total: int, params: ForestParams) -> DataFrame:
+    """Links (a, b) of clusters of many blocks; their components are those of all links.
+
+    ``large``: (rep, cluster, n_shingles). Sets whose sizes differ by more than the similarity
+    allows cannot be linked, so a cluster is dealt by bands of size, and only a band and the next
+    are compared. First the members of each band meet in blocks by one hash, then by another, which
+    is linear and unites all but a few of a group of near copies. Then every document that
+    is not in its cluster's largest component so far meets all of its own band and the
+    bands beside it; pairs inside the largest component change nothing and are left out.
+    """
+    p = params
+    size = "band_n"
+    members = large.withColumn("band", F.floor(F.log("n_shingles") / F.lit(float(np.log(101 / p.percent)))).cast("int"))
+    bands = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias(size), F.sum("n_shingles").alias("held"))
+    group = F.struct("cluster", "band").alias("group")
+    keyed = members.select("rep", "cluster", "band", "n_shingles", group)
+    met = join_groups(keyed, bands.select(group, size, _blocks(size, "held", p).alias("blocks")), "group", size, total)
+    salted = [(F.lit(2 * k).cast("long") + F.col("band")) * (1 << 32) + F.pmod(F.xxhash64("rep", F.lit(k)), F.col("blocks")) for k in (0, 1000)]
+    twice = met.select("rep", "cluster", F.explode(F.array(*salted)).alias("own")).withColumn("others", F.array("own"))
+    near = _compared(documents, twice, p)
+    united = keyed.join(components(near).withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("root", "rep"))
+    parts = united.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"))
+    marked = join_groups(united, main, "cluster", "n", total).withColumn("minor", F.col("part") != F.col("main"))
+    marked = staged(marked.select("rep", "cluster", "band", "n_shingles", "minor", "group"), "marked")
+    counts = marked.groupBy("cluster", "band").agg(
+        *[F.count(F.when(F.col("minor") == m, 1)).alias(f"n{int(m)}") for m in (False, True)], *[F.coalesce(F.sum(F.when(F.col("minor") == m, F.col("n_shingles"))), F.lit(0)).alias(f"h{int(m)}") for m in (False, True)]
+    )
+    blocks = counts.select("cluster", "band", (F.col("n0") + F.col("n1")).alias(size), *[_blocks(f"n{m}", f"h{m}", p).alias(f"b{m}") for m in (0, 1)])
+    beside = blocks.select("cluster", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("at"), F.struct("band", "b0", "b1").alias("near"))
+    beside = beside.groupBy("cluster", F.col("at").alias("band")).agg(F.collect_list("near").alias("near"))
+    table = staged(blocks.join(beside, ["cluster", "band"]).select(group, size, "b0", "b1", "near"), "bands")
+    # A block's number: its band, whether it is of the largest component, its place.
+    place = lambda band, main, k: (band * 2 + main).cast("long") * (1 << 32) + k
+    of = lambda count, main: lambda x: F.when(x[count] > 0, F.transform(F.sequence(F.lit(0), x[count] - 1), lambda k: place(x["band"], F.lit(main), k))).otherwise(F.array().cast("array<long>"))
+    minor, major = F.flatten(F.transform("near", of("b1", 0))), F.flatten(F.transform("near", of("b0", 1)))
+    own = place(F.col("band"), (~F.col("minor")).cast("int"), F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("b1")).otherwise(F.col("b0"))))
+    last = join_groups(marked, table, "group", size, total)
+    last = last.select("rep", "cluster", own.alias("own"), F.when(F.col("minor"), F.concat(minor, major)).otherwise(minor).alias("others"))
+    if last.filter(F.size("others") > 0).isEmpty():
+        return near
+    return near.unionByName(_compared(documents, last.filter(F.size("others") > 0), p))
 
 
 def near_components(documents: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
@@ -224,7 +303,8 @@ def near_components(documents: DataFrame, params: ForestParams = ForestParams())
     each. Null texts and texts without words have no shingle, are linked with nothing and are
     kept. A row without doc_id is linked with nothing: its component_id is null and it is kept.
     Rows with the same doc_id count as one document; repeats of a kept one are all kept. Other
-    columns are not read. An empty table gives an empty result.
+    columns are not read. An empty table gives an empty result. Sets hold 64-bit hashes of whole
+    shingles: counts and links are exact but for collisions (one in 10**8 for texts of a million words).
     """
     table = staged(sketches(documents, params), "sketches")
     total = table.count()
@@ -233,12 +313,17 @@ def near_components(documents: DataFrame, params: ForestParams = ForestParams())
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("n_shingles").alias("n_shingles"), F.min_by(F.struct("heads", "low"), "doc_id").alias("s")
     )
     reps = staged(classes.select("cls", "rep", "size", "n_shingles", "s.heads", "s.low"), "classes")
-    clusters = components(forest_edges(reps, params)).join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("own")), "node")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("held"))
-    sized = staged(join_groups(clusters, sizes, "root", "n", max(1, total)).select(F.col("node").alias("rep"), F.col("root").alias("cluster"), "n", "held"), "clusters")
-    links, many = cluster_links(documents, sized, params)
-    # A cluster of one block is settled by its forest; else the blocks' forests are put together.
-    roots = components(links) if many else links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    clusters = components(forest_edges(reps, params)).join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node")
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("held"))
+    sized = join_groups(clusters, sizes.withColumn("blocks", _blocks("n", "held", params)), "root", "n", max(1, total))
+    sized = staged(sized.select(F.col("node").alias("rep"), F.col("root").alias("cluster"), "n_shingles", "blocks"), "clusters")
+    small = sized.filter("blocks = 1").select("rep", "cluster", F.lit(0).cast("long").alias("own"), F.array(F.lit(0).cast("long")).alias("others"))
+    links, large = _compared(documents, small, params), sized.filter("blocks > 1").select("rep", "cluster", "n_shingles")
+    if large.isEmpty():
+        # A cluster of one block is settled by its forest.
+        roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    else:
+        roots = components(links.unionByName(large_cluster_links(documents, large, max(1, total), params)))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", "size", F.coalesce("root", "rep").alias("component_id"))
     rows = table.select("doc_id", "n_shingles", "cls")
     classed = join_groups(rows.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()), named, "cls", "size", max(1, total))

@@ -356,6 +356,51 @@ def test_near_components_of_documents(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows_of(lsh_forest.op7_lsh_forest(docs))} == expected
 
 
+def test_ranges_take_no_candidate_away(spark):
+    """A crowded region in one range and in many: the latter has every edge of the former."""
+    rng = random.Random(8)
+    base = [rng.randbytes(1) for _ in range(lsh_forest.LEVELS)]
+    params = lsh_forest.ForestParams(trees=2, head=1)
+    rows = []
+    for i in range(3000):
+        low = b"".join(b if rng.random() < 0.7 else rng.randbytes(1) for b in base)
+        rows.append((i, [7, rng.choice([7, 8])], bytearray(low + low[:2] + b"x")))
+    schema, found = "rep long, heads array<long>, low binary", []
+    for parts in (1, 4, 37):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        edges = lsh_forest.forest_edges(spark.createDataFrame(rows, schema), params).collect()
+        found.append({(min(e), max(e)) for e in edges})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    keys = sorted((t, h[t], bytes(low[t + 1 : t + 1 + lsh_forest.LEVELS]), i) for i, h, low in rows for t in (0, 1))
+    brute = set()
+    for k in (1, 2):
+        for x, y in zip(keys, keys[k:]):
+            if x[:2] == y[:2] and sum(a == b for a, b in zip(x[2], y[2])) >= params.agree:
+                brute.add((min(x[3], y[3]), max(x[3], y[3])))
+    assert found[0] == brute and all(brute <= f and len(f) < 1.05 * len(brute) for f in found[1:])
+
+
+def test_a_cluster_of_thousands(spark):
+    """3,000 near copies of one text, and 1,500 texts that share its half and are linked with nothing but their twin."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        words[rng.randrange(60)] = word()
+        rows.append((i, " ".join(words)))
+    for i in range(3000, 4500, 2):
+        words = base[:35] + [word() for _ in range(25)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words[:-1], word()]))]
+    rng.shuffle(rows)
+    params = lsh_forest.ForestParams(block=64, agree=1)
+    found = {r.doc_id: r.component_id for r in rows_of(lsh_forest.near_components(spark.createDataFrame(rows, "doc_id long, text string"), params))}
+    assert found == {i: 0 if i < 3000 else i - i % 2 for i in range(4500)}
+
+
 def test_rows_without_id_or_words_stay(spark):
     df = table(spark, [(None, "some words of a text"), (5, "some words of a text"), (7, ""), (6, None), (7, "")])
     found = sorted((str(r.doc_id), r.component_id, r.kept) for r in rows_of(lsh_forest.near_components(df)))
