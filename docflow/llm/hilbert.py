@@ -2,8 +2,9 @@
 
 Several metadata dimensions are quantised to a few bits each, the cell's index on the Hilbert
 curve is computed by a fold over bit planes, rows are ordered by (index, tie-breakers), and the
-order is cut into runs. Neighbouring rows share ranges of every dimension, so the min/max
-statistics of each run prune files for filters on any of them.
+order is cut into runs. Cells are quantiles that follow the order of a dimension's values, and
+neighbouring rows share ranges of every dimension, so the least and largest values of each run
+prune files for filters on any of them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.ranks import ranked
+from docflow.llm.ranks import ranked, running_total
+from docflow.plans.staging import staged
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int], list[int]]:
@@ -68,16 +70,24 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["h"])
 
 
-def category_cell(value: Column, bits: int) -> Column:
-    """Cell of a category: the first ``bits`` bits of its MD5; null is cell 0."""
-    head = F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
-    return F.coalesce(F.shiftright(head, 32 - bits), F.lit(0)).cast("int")
+def quantile_bounds(df: DataFrame, column: str, cells: int) -> list[tuple]:
+    """(value, cell) ascending, ``cells`` at most: the least value of each cell that has one.
+
+    A value's cell is the part of all rows, of ``cells`` equal ones, in which the middle of its
+    rows lies: few values spread over all cells, a hot one has its own. Distinct values are
+    counted with partial aggregation and ordered by ranges; only the bounds reach the driver.
+    Nulls do not count; without values there are no bounds.
+    """
+    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(values, [F.col("value")], "n", "values", "_before", "_total")
+    cell = F.floor((F.col("_before") + F.col("n") / 2) * cells / F.col("_total")).cast("int")
+    return sorted((r.first, r.cell) for r in placed.groupBy(cell.alias("cell")).agg(F.min("value").alias("first")).collect())
 
 
-def magnitude_cell(value: Column, bits: int, per_octave: int = 1) -> Column:
-    """Cell of a size: its binary order of magnitude, ``per_octave`` cells to each, from 0."""
-    octave = F.floor(F.log2(F.greatest(value.cast("double"), F.lit(1.0))) * per_octave)
-    return F.coalesce(F.least(octave, F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
+def quantile_cell(value: Column, bounds: list[tuple]) -> Column:
+    """The cell of the last bound that the value reaches; null is cell 0."""
+    found = [F.when(value >= F.lit(first), F.lit(cell)) for first, cell in reversed(bounds)]
+    return F.coalesce(*found, F.lit(0))
 
 
 def hilbert_shards(df: DataFrame, cells: list[Column], bits: int, shards: int, ties: list[Column], law: str = "rows", size: Column | None = None) -> DataFrame:
@@ -101,26 +111,60 @@ def hilbert_shards(df: DataFrame, cells: list[Column], bits: int, shards: int, t
 
 
 #: Production parameters of the query: dimensions, bits of each, shards.
-SHARDS, BITS = 16, 4
+DIMENSIONS, SHARDS, BITS = ("source", "lang", "size"), 16, 4
 
 
-def op1_hilbert_shards(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Shards of documents by (source, language, size); contract columns and the curve index.
+def document_shards(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, source, lang, hilbert, shard, slot of every document.
 
-    doc_id, size long (UTF-8 bytes plus 1; null text: 1), text_crc32 long (null as empty), law
-    ``rows``, shard, slot, grown_shard (null: the law is not ``key``), hilbert.
+    Texts are read once: the narrow rows are staged before their quantiles and ranges are taken.
     """
-    text = F.col("text").cast("binary")
     narrow = documents.select(
         "doc_id",
         (F.coalesce(F.octet_length(F.col("text")), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
-        category_cell(F.col("source"), BITS).alias("_source"),
-        category_cell(F.col("lang"), BITS).alias("_lang"),
+        F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
+        "source",
+        "lang",
     )
-    cells = [F.col("_source"), F.col("_lang"), magnitude_cell(F.col("size"), BITS)]
-    out = hilbert_shards(narrow, cells, BITS, shards, [F.col("doc_id"), F.col("text_crc32")])
-    return out.select(
+    table = staged(narrow, "narrow")
+    cells = [quantile_cell(F.col(c), quantile_bounds(table, c, 1 << BITS)) for c in DIMENSIONS]
+    return hilbert_shards(table, cells, BITS, shards, [F.col("doc_id"), F.col("text_crc32")])
+
+
+def shard_ranges(placed: DataFrame, columns: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """One row a shard: rows, and the least and largest value and the nulls of each column."""
+    per = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max), ("nulls", lambda c: F.count(F.when(F.col(c).isNull(), 1))))]
+    return placed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *per)
+
+
+def write_shards(documents: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
+    """Documents written as files of one shard each below ``path``/data, in the order of the curve.
+
+    Returns `shard_ranges`, also written to ``path``/ranges, from which a reader picks the shards
+    that a filter can touch; inside a file, Parquet's statistics prune row groups in turn.
+    doc_id must be unique and not null, since places are joined back by it; texts are shuffled
+    by ranges of the order, so a shard may have several files and no task holds a shard.
+    """
+    spark = documents.sparkSession
+    placed = staged(document_shards(documents, shards), "placed")
+    rows, ids = placed.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if rows != ids:
+        raise ValueError("doc_id is not unique")
+    where = placed.select(F.col("doc_id").alias("_id"), "shard", "slot").hint("merge")
+    joined = documents.join(where, F.col("doc_id") == F.col("_id")).drop("_id")
+    ordered = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.drop("slot").write.partitionBy("shard").parquet(f"{path}/data")
+    shard_ranges(placed).coalesce(1).write.parquet(f"{path}/ranges")
+    return spark.read.parquet(f"{path}/ranges")
+
+
+def op1_hilbert_shards(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Shards of documents by (source, language, size); contract columns and the curve index.
+
+    doc_id, size long (UTF-8 bytes plus 1; null text: 1), text_crc32 long (null as empty), law
+    ``rows``, shard, slot, grown_shard (null: the law is not ``key``), hilbert.
+    """
+    return document_shards(documents, shards).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "hilbert",
     )

@@ -92,8 +92,11 @@ def systematic_mix(df: DataFrame, source: Column, size: Column, ties: list[Colum
 
 
 def mixed_documents(documents: DataFrame, *more: Column) -> DataFrame:
-    """`systematic_mix` of documents by source and words, with doc_id and ``more``."""
-    narrow = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more)
+    """`systematic_mix` of documents by source and words, with doc_id and ``more``.
+
+    Texts are read once: the rows are staged with their sizes before the range shuffle samples them.
+    """
+    narrow = staged(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more), "narrow")
     return systematic_mix(narrow, F.col("source"), F.col("size"), [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")])
 
 

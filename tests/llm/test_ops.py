@@ -88,6 +88,42 @@ def test_shards_are_runs_of_the_order_with_counts_one_apart(spark, sf):
     assert order == sorted(order)
 
 
+def test_quantile_cells_follow_the_order_of_values(spark):
+    rng = random.Random(3)
+    values = [rng.choice(["a", "b", "hot", "hot", "hot", "hot", "z", None, f"v{rng.randrange(40)}"]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    bounds = hilbert.quantile_bounds(df, "v", 16)
+    cells = {r.v: r.c for r in df.select("v", hilbert.quantile_cell(df.v, bounds).alias("c")).distinct().collect()}
+    known = sorted(v for v in cells if v is not None)
+    assert cells[None] == 0 and [cells[v] for v in known] == sorted(cells[v] for v in known) and max(cells.values()) >= 14
+    order, told = sorted(v for v in values if v is not None), {}
+    for k, v in enumerate(order):
+        told.setdefault(v, []).append(k)
+    assert all(cells[v] == (own[0] + len(own) / 2) * 16 // len(order) for v, own in told.items())
+    assert hilbert.quantile_bounds(df.filter("v IS NULL"), "v", 16) == []
+
+
+def test_ranges_of_shards_prune_on_every_dimension(spark, sf):
+    """Filters on one dimension read clearly fewer shards, by the recorded ranges, than of shuffled rows."""
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    path = new_path(spark, "shards-test")
+    ranges = {r.shard: r for r in hilbert.write_shards(docs, path).collect()}
+    rows = docs.collect()
+    size = lambda r: len((r.text or "").encode()) + 1
+    written = spark.read.parquet(f"{path}/data")
+    assert sorted(written.drop("shard").select(docs.columns).collect()) == sorted(rows)
+    for r in written.collect():
+        own = ranges[r.shard]
+        assert own.min_source <= r.source <= own.max_source and own.min_lang <= r.lang <= own.max_lang and own.min_size <= size(r) <= own.max_size
+    read = lambda c, v: sum(r[f"min_{c}"] <= v <= r[f"max_{c}"] for r in ranges.values())
+    mean = lambda c, values: sum(read(c, v) for v in values) / len(values)
+    sizes = sorted(map(size, rows))
+    assert mean("source", sorted({r.source for r in rows})) <= 9
+    assert mean("lang", ["de", "es", "fr"]) <= 9 and mean("size", [sizes[len(sizes) * k // 20] for k in range(20)]) <= 10
+    with pytest.raises(ValueError):
+        hilbert.write_shards(docs.union(docs.limit(1)), path + "2")
+
+
 # Language
 
 
@@ -529,6 +565,22 @@ def test_token_files_hold_all_documents_in_order(spark, sf):
         token_store.TokenFile(uri, manifest[0].file, b"other")
 
 
+@pytest.mark.parametrize("texts", [[], [None, ""], ["a"], ["same words"] * 300, [f"n{k}" for k in range(20)]])
+def test_every_store_has_a_dictionary(spark, texts):
+    """Also where there is nothing to train on; each frame still names and needs it."""
+    rows = table(spark, [(None if k % 3 == 0 else k, t) for k, t in enumerate(texts)])
+    uri, own = new_path(spark, "store-test"), token_store.WordEncoder(token_store.public_tokenizer())
+    files = token_store.write_store(rows, token_store.public_tokenizer(), uri).collect()
+    fs, folder = token_store.open_store(uri)
+    dictionary = fs.open_input_stream(f"{folder}/dictionary.zdict").read()
+    assert 0 < len(dictionary) <= token_store.StoreParams().dictionary_bytes
+    found = rows_of(token_store.read_store(spark, uri))
+    crc = lambda t: zlib.crc32(np.array([*own._ids(t or ""), 1], dtype="<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in found) == Counter((None if k % 3 == 0 else k, crc(t)) for k, t in enumerate(texts))
+    held = [i for m in files for i, *_ in token_store.TokenFile(uri, m.file, dictionary).index]
+    assert sorted(held) == sorted(token_store.NO_ID if k % 3 == 0 else k for k in range(len(texts)))
+
+
 # Mixing
 
 
