@@ -149,7 +149,11 @@ class StoreParams:
 
 
 def train_dictionary(documents: DataFrame, source: str, params: StoreParams) -> bytes:
-    """A dictionary from a bounded sample: rows of least hash of doc_id. Empty if too few differ."""
+    """A dictionary from a bounded sample: rows of least hash of doc_id.
+
+    A sample that is too small or too much alike to train on is itself the dictionary's content, and
+    the least ids are that of an empty one; so every store has a dictionary and one format.
+    """
     chosen = documents.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_rows)
     rows = documents.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
     shared = documents.sparkSession.sparkContext.broadcast(source)
@@ -166,7 +170,8 @@ def train_dictionary(documents: DataFrame, source: str, params: StoreParams) ->
     try:
         return zstandard.train_dictionary(params.dictionary_bytes, [bytes(a) for a in arrays]).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        least = np.arange(256, dtype=encoder(source).kind).tobytes()
+        return (least + b"".join(bytes(a) for a in arrays))[-params.dictionary_bytes :]
 
 
 class _Writer:
@@ -227,11 +232,11 @@ class TokenFile:
 
 
 def compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
 
 
 def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
-    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
 
 
 def write_store(documents: DataFrame, source: str, uri: str, params: StoreParams = StoreParams()) -> DataFrame:
@@ -292,7 +297,9 @@ def write_store(documents: DataFrame, source: str, uri: str, params: StoreParams
         if done:
             yield pa.RecordBatch.from_pydict({f.name: [d[k] for d in done] for k, f in enumerate(listed)}, schema=listed)
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The hash deals out rows of one id, those without an id among them.
+    order = [F.col("doc_id"), F.xxhash64("frame")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     files = staged(ordered.mapInArrow(write, "part int, file string, documents long, ids long, bytes long"), "files")
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     manifest = files.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0))).drop("part")
