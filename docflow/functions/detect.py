@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docflow.functions.text import is_blank, strip
+from docflow.functions.text import not_blank, strip
 
 #: Patterns and names that tell formats apart.
 FENCE = r"(?s)```\w*\n.*?\n```"
 BRACES = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
 TAGGED = r"(?s)<[^>]+>.*?</[^>]+>"
-TAG = r"<[^>]+>"
+TAG, ANY_TAG = r"<[^>]+>", r"<[^>]*>"
+DECLARATION = r"(?is)<\?xml.*?\?>"
+PLAIN_ELEMENT = r"<[a-zA-Z_][a-zA-Z0-9_]*>[^<]*</[a-zA-Z_][a-zA-Z0-9_]*>"
 SIMPLE_XML = r"(?s)<([a-zA-Z_][a-zA-Z0-9_-]*)\b[^>]*>.*?</\1>"
 QUOTED_BRACES = r'\{[^{}]*"[^"]*"[^{}]*\}'
 JSON_HINTS = (r'"[^"]+"\s*:', r"\[\s*\{", r"\}\s*,\s*\{")
@@ -39,7 +41,7 @@ def is_pure_json(text: Column) -> Column:
 
 
 def without_tags(text: Column) -> Column:
-    return F.regexp_replace(text, TAG, "")
+    return F.regexp_replace(text, ANY_TAG, "")
 
 
 def is_pure_html(text: Column) -> Column:
@@ -50,7 +52,7 @@ def is_pure_html(text: Column) -> Column:
 
 
 def _filled_lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n", -1), lambda x: ~is_blank(x))
+    return not_blank(F.split(text, "\n", -1))
 
 
 def csv_share(text: Column) -> Column:
@@ -68,10 +70,10 @@ def is_likely_json(text: Column) -> Column:
 
 
 def is_xml_like(content: Column, tags: tuple[str, ...] = XML_TAGS) -> Column:
-    """XML marks (declaration, namespace, closed or known tags) and none of HTML's."""
+    """XML marks (declaration, namespace, closed or known bare tags) and none of HTML's."""
     low = F.lower(content)
-    marks = [strip(low).startswith("<?xml"), low.contains("xmlns:"), low.contains("/>"), low.rlike(f"<(?:{'|'.join(tags)})\\b")]
-    html = [low.rlike(f"<(?:{'|'.join(HTML_TAGS)})\\b"), *[low.contains(a) for a in HTML_ATTRIBUTES]]
+    marks = [low.startswith("<?xml"), low.contains("xmlns:"), low.contains("/>"), *[low.contains(f"<{t}>") for t in tags]]
+    html = [*[low.contains(f"<{t}>") for t in HTML_TAGS], *[low.contains(a) for a in HTML_ATTRIBUTES]]
     return any_of(marks) & ~any_of(html)
 
 
@@ -80,15 +82,15 @@ def mixed_indicators(text: Column) -> dict[str, Column]:
     size = F.length(strip(text))
     braces = F.aggregate(F.regexp_extract_all(text, F.lit(BRACES), F.lit(0)), F.lit(0), lambda n, m: n + F.length(m))
     tagged = F.regexp_extract_all(text, F.lit(TAGGED), F.lit(0))
-    xml = F.regexp_extract_all(text, F.lit(SIMPLE_XML), F.lit(0))
+    xml = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (DECLARATION, PLAIN_ELEMENT)]
     filled = _filled_lines(text)
     rows = F.size(F.filter(filled, is_csv_like))
     return {
         "code": text.rlike(FENCE),
         "json": (braces > 0) & (braces < size * 0.8),
-        "html": F.exists(tagged, lambda m: ~is_xml_like(m)) & (F.length(without_tags(text)) > F.length(text) * 0.3),
+        "html": F.exists(tagged, lambda m: ~is_xml_like(m)) & (F.length(strip(without_tags(text))) > F.length(text) * 0.3),
         "csv": (rows >= 3) & (rows < F.size(filled) * 0.8),
-        "xml": (text.contains("<?xml") & is_xml_like(text)) | F.exists(xml, lambda m: is_xml_like(m)),
+        "xml": any_of([F.exists(found, lambda m: is_xml_like(m)) for found in xml]),
     }
 
 

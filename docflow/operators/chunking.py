@@ -23,7 +23,8 @@ HEADER = (
 )
 #: Lines end at LF only ((?d)), and white space is Unicode's ((?U)).
 HEADER_LINE = rf"(?mdU)^{HEADER}"
-_MARK = "\u0001"
+#: Stands before a header; texts that hold it are escaped with the second character.
+_MARK, _ESCAPE = "\u0001", "\u0002"
 
 PIECE = "array<struct<text:string,metadata:map<string,string>>>"
 _METHODS: dict[str, Callable[[Column], Column]] = {}
@@ -57,7 +58,12 @@ def paragraphs(text: Column) -> Column:
 
 def header_parts(text: Column) -> Column:
     """The text cut before each section header; one part if there is none."""
-    return F.split(F.regexp_replace(unix_lines(text), HEADER_LINE, f"{_MARK}$0"), _MARK, -1)
+    plain = unix_lines(text)
+    marked = plain.contains(_MARK) | plain.contains(_ESCAPE)
+    safe = F.replace(F.replace(plain, F.lit(_ESCAPE), F.lit(f"{_ESCAPE}b")), F.lit(_MARK), F.lit(f"{_ESCAPE}a"))
+    cut = lambda t: F.split(F.regexp_replace(t, HEADER_LINE, f"{_MARK}$0"), _MARK, -1)
+    back = lambda p: F.replace(F.replace(p, F.lit(f"{_ESCAPE}a"), F.lit(_MARK)), F.lit(f"{_ESCAPE}b"), F.lit(_ESCAPE))
+    return F.when(marked, F.transform(cut(safe), back)).otherwise(cut(plain))
 
 
 def _line_pieces(segment: Column) -> Column:

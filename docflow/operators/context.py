@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import stable_id
+from docflow.operators.batches import map_tuples
 from docflow.operators.chunking import HEADER
 
 _HEADER = re.compile(HEADER, re.MULTILINE)
@@ -150,12 +151,10 @@ def context_chunks(documents: DataFrame, embed: Embedder = hashed_terms) -> Data
     """Topic chunks of (document_id, paragraphs array<string>); ``embed`` runs on executors."""
     out = pa.schema(_FIELDS)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(key, *t) for key, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t in topics_of(texts or [], embed)]
-            yield pa.RecordBatch.from_pydict({name: [r[k] for r in rows] for k, (name, _) in enumerate(_FIELDS)}, schema=out)
+    def work(document_id: str, texts: list[str] | None) -> list[tuple]:
+        return [(document_id, *t) for t in topics_of(texts or [], embed)]
 
-    return documents.select("document_id", "paragraphs").mapInArrow(work, SCHEMA)
+    return map_tuples(documents.select("document_id", "paragraphs"), work, SCHEMA, out)
 
 
 def related(chunks: DataFrame) -> DataFrame:

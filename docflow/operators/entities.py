@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from docflow.functions.text import stable_id
+from docflow.operators.batches import map_tuples
 from docflow.operators.components import components
 
 #: Types, and least scores by type and for short texts.
@@ -50,12 +51,10 @@ def extract(chunks: DataFrame, extractor: str = "rules") -> DataFrame:
     fields = [("chunk_id", pa.string()), ("text", pa.string()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
     out = pa.schema(fields)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(key, *e) for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in run(text or "")]
-            yield pa.RecordBatch.from_pydict({name: [r[k] for r in rows] for k, (name, _) in enumerate(fields)}, schema=out)
+    def work(chunk_id: str, text: str | None) -> list[tuple]:
+        return [(chunk_id, *e) for e in run(text or "")]
 
-    found = chunks.select("chunk_id", "text").mapInArrow(work, "chunk_id string, text string, type string, start int, end int")
+    found = map_tuples(chunks.select("chunk_id", "text"), work, "chunk_id string, text string, type string, start int, end int", out)
     return found.withColumn("id", stable_id(F.col("chunk_id"), F.col("type"), F.col("start")))
 
 

@@ -2,54 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import stable_id
-from docflow.operators import mixed, office, parsers
+from docflow.operators import layout, mixed, office, parsers
+from docflow.operators.batches import map_tuples
 from docflow.sources.ingest import SUPPORTED, ingest
 
 
-def _sections(route: str, mime: str | None, text: str | None, content: bytes | None) -> list[parsers.Section]:
-    """Sections of one document by its route; regions of office files count as sections."""
+class NoText(ValueError):
+    """No engine could read a file."""
+
+
+def _sections(route: str, mime: str | None, text: str | None, content: bytes | None, engines: list) -> list[parsers.Section]:
+    """Sections of one document by its route; regions of office files and blocks of pages count as sections."""
     if route == "text_handler":
         return parsers.parser_of(mime)(text or "")
     if route == "mixed_handler":
         return mixed.parse_mixed(text or "")
-    reader = office.READERS.get(SUPPORTED.get(mime or "", ""))
-    if reader is None:
-        return []
-    return [
-        parsers.Section(r.kind, r.text, {"page_number": b.page, "label": b.label, "title": b.title, "confidence": r.confidence} | b.metadata | r.metadata)
-        for b in reader(content or b"")
-        for r in b.regions
-    ]
-
-
-def process(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kind = SUPPORTED.get(mime or "", "")
+    if reader := office.READERS.get(kind):
+        return [
+            parsers.Section(r.kind, r.text, {"page_number": b.page, "label": b.label, "title": b.title, "confidence": r.confidence} | b.metadata | r.metadata)
+            for b in reader(content or b"")
+            for r in b.regions
+        ]
+    if not kind:
+        raise NoText(f"Unsupported binary format: {mime}")
+    found, error = layout.engine_blocks(content or b"", engines)
+    if not found:
+        raise NoText(f"No engine could read the file ({error})")
+    return [parsers.Section(label, body, {"page_number": page, "block_idx": k, "confidence": confidence, "method": name}) for page, k, label, _, body, confidence, name in found]
+
+
+def process(inputs: DataFrame, engines: tuple[str, ...] | list[str] = layout.DEFAULT_ENGINES) -> tuple[DataFrame, DataFrame]:
     """(document rows, section rows) of inputs (source_name, raw_bytes, raw_text).
 
     One Arrow pass parses every row by its own route, so formats are detected once and nothing is
-    shuffled. Failed rows keep their error and have no sections.
+    shuffled. PDFs and images go to the ``engines`` in turn. Failed rows keep their error and
+    have no sections but one that tells it.
     """
-    documents = ingest(inputs)
+    documents, chosen = ingest(inputs), layout.chosen_engines(engines)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    found = _sections(*row)
-                except Exception as error:  # noqa: BLE001  one bad document must not fail the job
-                    found = [parsers.Section("error", f"{type(error).__name__}: {error}"[:500])]
-                rows += [(key, k, s.kind, s.content, parsers.shown(s.metadata)) for k, s in enumerate(found)]
-            yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in rows] for k, f in enumerate(parsers.ARROW)}, schema=parsers.ARROW)
+    def work(document_id: str, *row) -> list[tuple]:
+        try:
+            found = _sections(*row, chosen)
+        except NoText as error:
+            found = [parsers.Section("error", str(error)[:500])]
+        except Exception as error:  # noqa: BLE001  one bad document must not fail the job
+            found = [parsers.Section("error", f"{type(error).__name__}: {error}"[:500])]
+        return [(document_id, k, s.kind, s.content, parsers.shown(s.metadata)) for k, s in enumerate(found)]
 
-    sound = documents.filter(F.col("error").isNull()).select("document_id", "routing_target", "mime_type", "raw_text", "raw_bytes")
-    return documents, sound.mapInArrow(work, parsers.SCHEMA)
+    sound = documents.filter(F.col("error").isNull()).filter("routing_target <> 'unknown_handler'").select("document_id", "routing_target", "mime_type", "raw_text", "raw_bytes")
+    return documents, map_tuples(sound, work, parsers.SCHEMA, parsers.ARROW)
 
 
 def results(documents: DataFrame, sections: DataFrame) -> DataFrame:
@@ -65,7 +71,9 @@ def results(documents: DataFrame, sections: DataFrame) -> DataFrame:
         "detected_format",
         "mime_type",
         "routing_target",
-        F.coalesce("sections", F.lit(0)).alias("sections"),
+        F.when(error.isNull(), F.coalesce("sections", F.lit(0))).otherwise(0).alias("sections"),
+        "language",
+        "extraction_method",
         error.alias("error_message"),
     )
 
@@ -79,6 +87,7 @@ def summary(found: DataFrame) -> DataFrame:
         good.alias("processed_files"),
         (total - good).alias("failed_files"),
         F.round(100.0 * good / F.greatest(total, F.lit(1)), 2).alias("success_rate"),
+        F.when(total > 0, 100.0).otherwise(0.0).alias("progress"),
         F.when(total > 0, "completed").otherwise("pending").alias("status"),
     )
 
@@ -103,9 +112,15 @@ def table_view(found: DataFrame) -> DataFrame:
     return found.select("file_name", F.substring("document_id", 1, 8).alias("document"), "status", "detected_format", "sections", "error_message")
 
 
-def search_sections(sections: DataFrame, query: str, most: int = 10) -> DataFrame:
-    """The first ``most`` sections whose content holds the query in any case, in order."""
-    return sections.filter(F.contains(F.lower("content"), F.lit(query.lower()))).orderBy("document_id", "section_idx").limit(most)
+def search_sections(sections: DataFrame, query: str, most: int = 10, least: int = 5) -> DataFrame:
+    """Each document's first ``most`` sections whose content holds the query in any case, in order.
+
+    Documents of ``least`` sections or fewer are not searched but shown whole.
+    """
+    every = Window.partitionBy("document_id")
+    held = F.contains(F.lower("content"), F.lit(query.lower()))
+    counted = sections.withColumn("_few", F.count(F.lit(1)).over(every) <= least).filter(F.col("_few") | held)
+    return counted.withColumn("_n", F.row_number().over(every.orderBy("section_idx"))).filter(F.col("_few") | (F.col("_n") <= most)).drop("_few", "_n")
 
 
 def document_json(documents: DataFrame, sections: DataFrame) -> DataFrame:
@@ -113,7 +128,7 @@ def document_json(documents: DataFrame, sections: DataFrame) -> DataFrame:
     item = F.struct("section_idx", "section_type", "content", "metadata")
     listed = sections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("section_idx", F.to_json(item).alias("j")))).alias("items"))
     body = F.array_join(F.transform("items", lambda x: x["j"]), ",")
-    head = F.to_json(F.struct("document_id", "source_name", "detected_format", "mime_type", "routing_target"))
+    head = F.to_json(F.struct("document_id", "source_name", "detected_format", "mime_type", "encoding", "language", "extraction_method", "routing_target", "file_size"))
     joined = documents.join(listed.select("document_id", body.alias("body")), "document_id", "left")
     return joined.select("document_id", F.concat(F.lit('{"document":'), head, F.lit(',"sections":['), F.coalesce("body", F.lit("")), F.lit("]}")).alias("json"))
 

@@ -10,24 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import is_blank, strip
+from docflow.operators import pdf
+from docflow.operators.batches import map_tuples
 
 #: Labels of a layout model and what they are called here.
 LABELS = {
     "plain text": "body",
-    "isolate_formula": "formula",
-    "formula_caption": "caption",
     "figure_caption": "caption",
     "table_caption": "caption",
     "table_footnote": "footer",
+    "isolate_formula": "formula",
+    "formula_caption": "caption",
 }
 #: The page that stands in where detection fails, and the least confidence kept.
 FULL_PAGE, LEAST_CONFIDENCE = (0, 0, 1240, 1754), 0.2
 
 
 def normal_label(label: Column) -> Column:
+    """The label that LABELS gives; others stay as they are."""
     table = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    low = F.lower(strip(label))
-    return F.coalesce(F.element_at(table, low), low)
+    return F.coalesce(F.element_at(table, label), label)
 
 
 def clamp_box(box: Column, width: Column, height: Column) -> Column:
@@ -139,13 +141,11 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     fields = [("document_id", pa.string()), ("page_number", pa.int32()), ("block_idx", pa.int32()), ("label", pa.string()), ("title", pa.string()), ("raw_text", pa.string()), ("confidence", pa.float64())]
     out = pa.schema(fields)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, p, k, *block, 1.0) for d, p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, block in enumerate(blocks_of_page(t or ""))]
-            yield pa.RecordBatch.from_pydict({name: [r[k] for r in rows] for k, (name, _) in enumerate(fields)}, schema=out)
+    def work(document_id: str, page: int, text: str | None) -> Iterator[tuple]:
+        return ((document_id, page, k, *block, 1.0) for k, block in enumerate(blocks_of_page(text or "")))
 
     schema = "document_id string, page_number int, block_idx int, label string, title string, raw_text string, confidence double"
-    return pages.select(F.col("document_id").cast("string"), F.col("page_number").cast("int"), "text").mapInArrow(work, schema)
+    return map_tuples(pages.select(F.col("document_id").cast("string"), F.col("page_number").cast("int"), "text"), work, schema, out)
 
 
 # Engines from outside
@@ -160,41 +160,70 @@ def register_engine(name: str, engine: Engine) -> None:
     _ENGINES[name] = engine
 
 
-def recognise(documents: DataFrame, engines: list[str]) -> DataFrame:
+register_engine("pdf_text", pdf.engine)
+
+#: Engines that a batch tries in turn unless it is told others.
+DEFAULT_ENGINES = ("pdf_text",)
+
+
+def chosen_engines(names: tuple[str, ...] | list[str]) -> list[tuple[str, Engine]]:
+    """The registered ones of the names, in order; they travel with the task."""
+    return [(name, _ENGINES[name]) for name in names if name in _ENGINES]
+
+
+def engine_blocks(data: bytes, chosen: list[tuple[str, Engine]]) -> tuple[list[tuple], str]:
+    """(page_number, block_idx, label, bbox, text, confidence, method) of the first engine that gives blocks, and why none did."""
+    errors = []
+    for name, engine in chosen:
+        try:
+            pages = engine(data)
+        except Exception as problem:  # noqa: BLE001  the next engine gets its turn
+            errors.append(f"{name}: {problem}"[:300])
+            continue
+        found = [(p, k, b.get("label", "body"), list(b.get("bbox", FULL_PAGE)), b.get("text", ""), float(b.get("confidence", 1.0)), name) for p, page in enumerate(pages, 1) for k, b in enumerate(page)]
+        if found:
+            return found, ""
+        errors.append(f"{name}: no blocks")
+    return [], "; ".join(errors) or "no engine is registered"
+
+
+def recognise(documents: DataFrame, engines: tuple[str, ...] | list[str] = DEFAULT_ENGINES) -> DataFrame:
     """Blocks of (document_id, raw_bytes) by the first engine that gives any; never raises.
 
-    Where all fail, a document has one full_page block with confidence 0 and the last error.
+    Where all fail, a document has one full_page block with confidence 0 and the errors.
     """
-    chosen = [(name, _ENGINES.get(name)) for name in engines]
+    chosen = chosen_engines(engines)
     fields = [("document_id", pa.string()), ("page_number", pa.int32()), ("block_idx", pa.int32()), ("label", pa.string()), ("bbox", pa.list_(pa.int32())), ("raw_text", pa.string()), ("confidence", pa.float64()), ("method", pa.string()), ("error", pa.string())]
-    out = pa.schema(fields)
 
-    def blocks(data: bytes) -> tuple[list[tuple], str]:
-        error = "no engine is registered"
-        for name, engine in chosen:
-            if engine is None:
-                continue
-            try:
-                pages = engine(data)
-            except Exception as problem:  # noqa: BLE001  the next engine gets its turn
-                error = f"{name}: {problem}"[:300]
-                continue
-            found = [(p, k, b.get("label", "body"), list(b.get("bbox", FULL_PAGE)), b.get("text", ""), float(b.get("confidence", 1.0)), name, None) for p, page in enumerate(pages, 1) for k, b in enumerate(page)]
-            if found:
-                return found, ""
-            error = f"{name}: no blocks"
-        return [], error
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found, error = blocks(data or b"")
-                rows += [(key, *b) for b in found] or [(key, 1, 0, "full_page", list(FULL_PAGE), "", 0.0, "none", error)]
-            yield pa.RecordBatch.from_pydict({name: [r[k] for r in rows] for k, (name, _) in enumerate(fields)}, schema=out)
+    def work(document_id: str, data: bytes | None) -> list[tuple]:
+        found, error = engine_blocks(data or b"", chosen)
+        return [(document_id, *b, None) for b in found] or [(document_id, 1, 0, "full_page", list(FULL_PAGE), "", 0.0, "none", error)]
 
     schema = "document_id string, page_number int, block_idx int, label string, bbox array<int>, raw_text string, confidence double, method string, error string"
-    return documents.select("document_id", "raw_bytes").mapInArrow(work, schema)
+    return map_tuples(documents.select("document_id", "raw_bytes"), work, schema, pa.schema(fields))
+
+
+def zip_pages(pages: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Pages with the layouts at the same place: the n-th page of a document with its n-th layout.
+
+    ``pages`` and ``layouts``: document_id, page_number, ...; what only one side has is left out. The
+    page's own number stays, the layout's goes.
+    """
+    nth = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy("document_id").orderBy("page_number")))
+    return nth(pages).join(nth(layouts).drop("page_number"), ["document_id", "_nth"]).drop("_nth")
+
+
+def crops(pages: DataFrame) -> DataFrame:
+    """What an engine is to read: each page's ``blocks`` as rows, their boxes inside the page.
+
+    ``pages``: document_id, page_number, width, height, blocks array<struct<label, bbox, confidence>>.
+    Boxes without an area give no row; a page without blocks is read whole.
+    """
+    whole = F.array(F.struct(F.lit("full_page").alias("label"), F.array(F.lit(0), F.lit(0), F.col("width"), F.col("height")).cast("array<int>").alias("bbox"), F.lit(0.0).alias("confidence")))
+    blocks = F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(whole)
+    rows = pages.select("document_id", "page_number", "width", "height", F.posexplode(blocks).alias("block_idx", "b"))
+    placed = rows.select("document_id", "page_number", "block_idx", F.col("b.label").alias("label"), clamp_box(F.col("b.bbox"), F.col("width"), F.col("height")).alias("bbox"), F.col("b.confidence").alias("confidence"))
+    return placed.filter((F.col("bbox")[2] > F.col("bbox")[0]) & (F.col("bbox")[3] > F.col("bbox")[1]))
 
 
 def search_blocks(blocks: DataFrame, query: str) -> DataFrame:

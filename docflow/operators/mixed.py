@@ -38,9 +38,9 @@ class Region:
 
 def xml_like(content: str) -> bool:
     low = content.lower()
-    marks = low.strip().startswith("<?xml") or "xmlns:" in low or "/>" in low or re.search(rf"<(?:{'|'.join(detect.MIXED_XML_TAGS)})\b", low)
-    html = re.search(rf"<(?:{'|'.join(detect.HTML_TAGS)})\b", low) or any(a in low for a in detect.HTML_ATTRIBUTES)
-    return bool(marks) and not html
+    holds = lambda tags: any(f"<{t}>" in low for t in tags)
+    marks = low.startswith("<?xml") or "xmlns:" in low or "/>" in low or holds(detect.MIXED_XML_TAGS)
+    return marks and not holds(detect.HTML_TAGS) and not any(a in low for a in detect.HTML_ATTRIBUTES)
 
 
 def json_loads(content: str) -> bool:

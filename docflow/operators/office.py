@@ -16,6 +16,8 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docflow.operators.batches import map_tuples
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -276,17 +278,15 @@ _ARROW = pa.schema(
 def office_regions(documents: DataFrame) -> DataFrame:
     """Regions of (document_id, kind ``docx`` or ``xlsx``, raw_bytes) as rows, block metadata with each."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    for k, block in enumerate(READERS[kind](data)):
-                        for i, r in enumerate(block.regions):
-                            shown = [(n, str(v)) for n, v in {**block.metadata, **r.metadata}.items()]
-                            rows.append((key, block.page, k, block.label, block.title, i, r.kind, r.text, r.confidence, shown, None))
-                except Exception as error:  # noqa: BLE001  one bad file must not fail the job
-                    rows.append((key, *[None] * 9, f"{type(error).__name__}: {error}"[:300]))
-            yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in rows] for k, f in enumerate(_ARROW)}, schema=_ARROW)
-
-    return documents.select("document_id", "kind", "raw_bytes").mapInArrow(work, SCHEMA)
+    def work(document_id: str, kind: str, data: bytes) -> list[tuple]:
+        rows: list[tuple] = []
+        try:
+            for k, block in enumerate(READERS[kind](data)):
+                for i, r in enumerate(block.regions):
+                    shown = [(n, str(v)) for n, v in {**block.metadata, **r.metadata}.items()]
+                    rows.append((document_id, block.page, k, block.label, block.title, i, r.kind, r.text, r.confidence, shown, None))
+        except Exception as error:  # noqa: BLE001  one bad file must not fail the job
+            rows = [(document_id, *[None] * 9, f"{type(error).__name__}: {error}"[:300])]
+        return rows
+
+    return map_tuples(documents.select("document_id", "kind", "raw_bytes"), work, SCHEMA, _ARROW)

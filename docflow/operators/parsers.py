@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.batches import map_tuples
+
 
 @dataclass
 class Section:
@@ -493,18 +495,14 @@ ARROW = pa.schema(
 def section_rows(documents: DataFrame, run: Callable[[str, str | None], list[Section]]) -> DataFrame:
     """Sections of (document_id, raw_text, mime_type) by ``run``; an error is a section, too."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, text, mime in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    found = run(text or "", mime)
-                except Exception as error:  # noqa: BLE001  one bad document must not fail the job
-                    found = [Section("error", f"{type(error).__name__}: {error}"[:500])]
-                rows += [(key, k, s.kind, s.content, shown(s.metadata)) for k, s in enumerate(found)]
-            yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in rows] for k, f in enumerate(ARROW)}, schema=ARROW)
-
-    return documents.select("document_id", "raw_text", "mime_type").mapInArrow(work, SCHEMA)
+    def work(document_id: str, text: str | None, mime: str | None) -> list[tuple]:
+        try:
+            found = run(text or "", mime)
+        except Exception as error:  # noqa: BLE001  one bad document must not fail the job
+            found = [Section("error", f"{type(error).__name__}: {error}"[:500])]
+        return [(document_id, k, s.kind, s.content, shown(s.metadata)) for k, s in enumerate(found)]
+
+    return map_tuples(documents.select("document_id", "raw_text", "mime_type"), work, SCHEMA, ARROW)
 
 
 def parse(documents: DataFrame) -> DataFrame:

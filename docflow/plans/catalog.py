@@ -253,11 +253,11 @@ def magic_suffix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _ROUTES
-    + r""", r AS (SELECT CASE WHEN detected_format = 'unknown' OR ext IN ('.docx', '.xlsx') THEN 'failed' ELSE 'success' END AS status FROM f)
-SELECT count(*) AS total_files, count(*) FILTER (WHERE status = 'success') AS processed_files, count(*) FILTER (WHERE status <> 'success') AS failed_files, round(100.0 * count(*) FILTER (WHERE status = 'success') / count(*), 2)::DOUBLE AS success_rate, 'completed' AS status FROM r"""
+    + r""", r AS (SELECT CASE WHEN detected_format = 'unknown' OR ext IN ('.docx', '.xlsx', '.pdf', '.png') THEN 'failed' ELSE 'success' END AS status FROM f)
+SELECT count(*) AS total_files, count(*) FILTER (WHERE status = 'success') AS processed_files, count(*) FILTER (WHERE status <> 'success') AS failed_files, round(100.0 * count(*) FILTER (WHERE status = 'success') / count(*), 2)::DOUBLE AS success_rate, 100.0::DOUBLE AS progress, 'completed' AS status FROM r"""
 )
 def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts under office names are broken files; the rest succeed or have no route."""
+    """Texts under the names of office files, PDFs and images are broken files; the rest succeed or have no route."""
     return jobs.batch(named_files(spark, sf))[1]
 
 

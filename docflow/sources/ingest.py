@@ -96,6 +96,10 @@ def encoding(content: Column) -> Column:
     )
 
 
+#: What cp1252 has at 80 to 9F, where Latin-1 has controls; its five gaps are replaced.
+_LATIN, _CP1252 = "".join(map(chr, range(0x80, 0xA0))), bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+
+
 def decoded(content: Column, name: Column) -> Column:
     """Text of the bytes; what the encoding cannot hold is replaced, nothing raises."""
     return (
@@ -103,6 +107,7 @@ def decoded(content: Column, name: Column) -> Column:
         .when(name == "utf-8-sig", F.substring(content, 4, 2147483647).cast("string"))
         .when(name == "utf-16-le", F.decode(F.substring(content, 3, 2147483647), "UTF-16LE"))
         .when(name == "utf-16-be", F.decode(F.substring(content, 3, 2147483647), "UTF-16BE"))
+        .when(name == "cp1252", F.translate(F.decode(content, "ISO-8859-1"), _LATIN, _CP1252))
         .otherwise(F.make_valid_utf8(content.cast("string")))
     )
 
@@ -168,9 +173,10 @@ def ingest(inputs: DataFrame) -> DataFrame:
     """(source_name, raw_bytes, raw_text) -> document rows.
 
     document_id (given, else from name and content), source_name, raw_text (decoded for text
-    routes), raw_bytes (kept for binary routes), detected_format, mime_type, encoding, language
-    (null here), routing_target, file_size, error. Narrow maps only: no shuffle, and Catalyst
-    prunes what later steps do not read.
+    routes), raw_bytes (kept for binary routes), detected_format, mime_type, encoding, language,
+    extraction_method, routing_target, file_size, ingested_at (seconds; the only value that
+    reruns change), error. Narrow maps only: no shuffle, and Catalyst prunes what later steps do
+    not read.
     """
     given = inputs if "document_id" in inputs.columns else inputs.withColumn("document_id", stable_id(F.col("source_name"), F.coalesce(F.md5("raw_bytes"), F.md5(F.col("raw_text").cast("binary")), F.lit(""))))
     name, content, text = F.col("source_name"), F.col("raw_bytes"), F.col("raw_text")
@@ -178,16 +184,21 @@ def ingest(inputs: DataFrame) -> DataFrame:
     # on it would otherwise be merged into copies of the whole expression.
     found = given.select("*", F.explode(F.array(formats(name, content, text))).alias("_f")).select("*", "_f.*").drop("_f")
     kind = F.col("detected_format")
+    whole = F.coalesce(text, F.when(kind.isin("text", "structured", "mixed"), decoded(content, F.col("encoding"))))
+    language = F.when(kind == "mixed", F.lit("en")).when(kind.isin("text", "structured"), detect.language(whole))
+    method = F.when(kind == "mixed", F.lit("multi_format_analysis")).when(kind.isin("text", "structured"), F.when(text.isNotNull(), "raw_text").otherwise("byte_decode"))
     return found.select(
         "document_id",
         "source_name",
-        F.coalesce(text, F.when(kind.isin("text", "structured", "mixed"), decoded(content, F.col("encoding")))).alias("raw_text"),
+        whole.alias("raw_text"),
         F.when(kind.isin("image", "document", "unknown"), content).alias("raw_bytes"),
         kind.alias("detected_format"),
         "mime_type",
         "encoding",
-        F.lit(None).cast("string").alias("language"),
+        language.alias("language"),
+        method.alias("extraction_method"),
         route(kind).alias("routing_target"),
         F.length(content).cast("long").alias("file_size"),
+        (F.unix_micros(F.current_timestamp()) / F.lit(1e6)).alias("ingested_at"),
         validation_error(kind, content, text).alias("error"),
     )
