@@ -163,6 +163,24 @@ def chunk(documents: DataFrame, method: str = "paragraph", join_segments: bool =
     )
 
 
+def segments(raw: DataFrame, sections: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """(document_id, segments, paged) of documents (document_id, raw_text): from blocks where a
+    document has any, else from its sections, else from its raw text.
+
+    ``paged`` says that the segments are blocks, which are cut one by one.
+    """
+    found = raw.select("document_id", segments_of_text(F.col("raw_text")).alias("_raw"))
+    for name, rows in (("_sections", None if sections is None else segments_of_sections(sections)), ("_blocks", None if blocks is None else segments_of_blocks(blocks))):
+        found = found.withColumn(name, F.lit(None).cast(PIECE)) if rows is None else found.join(rows.withColumnRenamed("segments", name), "document_id", "left")
+    return found.select("document_id", F.coalesce("_blocks", "_sections", "_raw").alias("segments"), F.col("_blocks").isNotNull().alias("paged"))
+
+
+def chunk_documents(raw: DataFrame, method: str = "paragraph", sections: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """`chunk` of whatever a document has: blocks one by one, sections or raw text as one."""
+    found = segments(raw, sections, blocks)
+    return chunk(found.filter("paged"), method, join_segments=False).unionByName(chunk(found.filter("NOT paged"), method))
+
+
 def page_chunks(blocks: DataFrame) -> DataFrame:
     """One chunk a page: its blocks' texts from top to bottom, then left to right.
 
@@ -173,6 +191,17 @@ def page_chunks(blocks: DataFrame) -> DataFrame:
     return listed.select("document_id", "page_number", F.array_join(F.transform("items", lambda x: x["text"]), "\n\n").alias("text"))
 
 
+def groups_payload(groups: DataFrame) -> DataFrame:
+    """(document_id, payload): a document's topic groups as one JSON text, in order of the topic.
+
+    ``groups``: document_id, topic_id, topic_label, topic_words, merged_text, chunks, coherence_score.
+    """
+    item = F.struct("topic_id", "topic_label", "topic_words", F.col("merged_text").alias("text"), F.col("chunks").alias("source_chunks"), "coherence_score")
+    listed = groups.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("topic_id", F.to_json(item).alias("j")))).alias("items"))
+    body = F.array_join(F.transform("items", lambda x: x["j"]), ",")
+    return listed.select("document_id", F.concat(F.lit('{"groups":['), body, F.lit('],"total_groups":'), F.size("items"), F.lit("}")).alias("payload"))
+
+
 def payload(chunks: DataFrame) -> DataFrame:
     """(document_id, payload): the document's chunks as one JSON text, in order."""
     item = F.struct("chunk_index", "chunk_id", "method", "text", "metadata")

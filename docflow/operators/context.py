@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from docflow.functions.text import stable_id
 from docflow.operators.batches import map_tuples
 from docflow.operators.chunking import HEADER
+from docflow.plans.staging import staged
 
 _HEADER = re.compile(HEADER, re.MULTILINE)
 _TERM = re.compile(r"(?u)\b\w\w+\b")
@@ -211,19 +212,24 @@ def badge(score: Column) -> Column:
     return F.when(score * 100 >= 70, "high").when(score * 100 >= 40, "medium").otherwise("low")
 
 
-def term_weights(texts: DataFrame, group: str, text: str, top: int = KEYWORDS) -> DataFrame:
+def term_weights(texts: DataFrame, group: str, text: str, top: int = KEYWORDS, features: int = FEATURES) -> DataFrame:
     """Keywords of each group of texts over a corpus: (group, term, weight, place), all by aggregates.
 
     A group is one document of the weighting: count times ln((1 + n) / (1 + df)) + 1, then unit
-    length. Terms are one word of two letters or more; ties go by term.
+    length. Terms are one or two words of two letters or digits or more, of the same text, without
+    stop words; the ``features`` terms of most occurrences in all count. Ties go by term. The
+    counts are staged once; after the choice of features only they and the groups are left.
     """
     stop = F.array(*map(F.lit, sorted(STOP_WORDS)))
-    terms = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z]+"), F.lit(0)), lambda t: ~F.array_contains(stop, t))
-    counts = texts.select(group, F.explode(terms).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = texts.select(group).distinct().agg(F.count(F.lit(1)).alias("n"))
-    held = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = counts.join(held, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
-    length = weighed.groupBy(group).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    order = Window.partitionBy(group).orderBy(F.col("w").desc(), "term")
-    best = weighed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
-    return best.join(length, group).select(group, "term", (F.col("w") / F.col("norm")).alias("weight"), "place")
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    found = texts.select(group, words.alias("_words"))
+    pairs = F.zip_with(F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))), F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    terms = found.select(group, F.explode(F.concat("_words", pairs)).alias("term"))
+    counts = staged(terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    n = texts.select(group).distinct().count()
+    held = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    kept = held.orderBy(F.col("total").desc(), "term").limit(features).select("term", "df")
+    weighed = counts.join(F.broadcast(kept), "term").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0))
+    own = Window.partitionBy(group)
+    placed = weighed.withColumns({"place": F.row_number().over(own.orderBy(F.col("w").desc(), "term")), "norm": F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))})
+    return placed.filter(F.col("place") <= top).select(group, "term", (F.col("w") / F.col("norm")).alias("weight"), "place")

@@ -392,7 +392,7 @@ def is_table_row(row: str) -> bool:
 def markdown_table(rows: list[str]) -> dict[str, object]:
     cells = [[c.strip() for c in r.split("|")[1:-1]] for r in rows]
     data = cells[2:]
-    return {"table_rows": len(data), "table_columns": len(cells[0]), "headers": " | ".join(cells[0])}
+    return {"table_rows": len(data), "table_columns": len(cells[0]), "headers": " | ".join(cells[0]), "table_data": "\n".join(map(" | ".join, data))}
 
 
 def _markdown_section(rows: list[str], header: tuple[int, str] | None) -> Section | None:

@@ -2,66 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.functions import detect
 from docflow.functions.text import line_count, word_count
 from docflow.operators import chunking, context, correct, entities, jobs, layout, mixed, packing, parsers
+from docflow.plans.registry import CONVERSATIONS, ORACLES, QUERIES, conversations, documents, query, strip_sql, table, whole  # noqa: F401
 from docflow.sources import ingest
 from docflow.streaming import ingest_stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
-
-    def add(run: Query) -> Query:
-        QUERIES[run.__name__] = run
-        if sql:
-            ORACLES[run.__name__] = sql
-        return run
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("raw_text"), F.lit("text/plain").alias("mime_type"), "lang")
-
-
-def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    """One Markdown text per conversation: a heading with the role before each turn."""
-    turn = F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.col("text"))
-    listed = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("turns"))
-    text = F.array_join(F.transform("turns", lambda x: x["t"]), "\n\n")
-    return listed.select(F.col("conv_id").alias("document_id"), text.alias("raw_text"), F.lit("text/markdown").alias("mime_type"))
-
-
-#: The same texts in SQL.
-_CONVERSATIONS = r"""(SELECT conv_id AS document_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS raw_text
- FROM conversations GROUP BY conv_id)"""
-_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-
-
-def strip_sql(text: str) -> str:
-    return _STRIP.format(text)
-
-
-def whole(df: DataFrame, *columns: str) -> DataFrame:
-    """Counts as bigint, so that both engines agree on types."""
-    kinds = dict(df.dtypes)
-    return df.select(*[F.col(c).cast("bigint").alias(c) if kinds[c] in ("int", "smallint", "tinyint") else F.col(c) for c in columns or df.columns])
-
-
 # Chunking
 
 
@@ -93,7 +43,7 @@ def chunk_paragraph(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     rf"""
-WITH f AS (SELECT document_id, list_filter(list_transform(string_split(regexp_replace(raw_text, '(?m)^(#{{1,6}}\s+\S.*|\d+[.)]\s+[A-Z]\S*.*|(Chapter|Section|Part|Appendix)\s+\S.*|[A-Z][A-Z ]{{3,60}}$)$', chr(1) || '\0', 'g'), chr(1)), lambda p: {strip_sql("p")}), lambda p: p <> '') AS parts FROM {_CONVERSATIONS})
+WITH f AS (SELECT document_id, list_filter(list_transform(string_split(regexp_replace(raw_text, '(?m)^(#{{1,6}}\s+\S.*|\d+[.)]\s+[A-Z]\S*.*|(Chapter|Section|Part|Appendix)\s+\S.*|[A-Z][A-Z ]{{3,60}}$)$', chr(1) || '\0', 'g'), chr(1)), lambda p: {strip_sql("p")}), lambda p: p <> '') AS parts FROM {CONVERSATIONS})
 SELECT document_id, generate_subscripts(parts, 1) - 1 AS chunk_index, unnest(parts) AS text FROM f
 """
 )
@@ -140,11 +90,6 @@ def token_windows(spark: SparkSession, sf: str) -> DataFrame:
     return whole(rows)
 
 
-@query()
-def packed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.packed_chunks(documents(spark, sf), most=256, overlap=32)
-
-
 @query(
     r"""
 SELECT conv_id AS document_id, count(*) AS chunks, sum(length(text))::BIGINT AS characters FROM conversations WHERE trim(text) <> '' GROUP BY conv_id
@@ -234,10 +179,21 @@ def csv_like_stats(spark: SparkSession, sf: str) -> DataFrame:
     return whole(documents(spark, sf).select("document_id", F.size(filled).alias("filled"), F.size(F.filter(filled, detect.is_csv_like)).alias("csv_rows"), detect.is_pure_csv(t).alias("pure_csv")))
 
 
-@query(r"SELECT page_id, true AS pure_html, false AS pure_json, lower(substr(html, 1, 9)) = '<!doctype' AS doctype FROM pages")
+_PURE = r"""CASE page_id % 6 WHEN 0 THEN html WHEN 1 THEN '{"page": ' || CAST(page_id AS STRING) || '}' WHEN 2 THEN '<p><b><i></i></b></p><br><hr><em class=x></em>' || CAST(page_id AS STRING)
+  WHEN 3 THEN 'plain words ' || CAST(page_id AS STRING) || ' <b>x</b> and more plain words' WHEN 4 THEN '<?xml version="1.0"?><a><b/><c/><d/></a>' ELSE '[1, "' || url || '"' END"""
+
+
+@query(
+    rf"""
+WITH t AS (SELECT page_id, {_PURE} AS t FROM pages)
+SELECT page_id, page_id % 6 IN (0, 2) AS pure_html, page_id % 6 = 1 AS pure_json, lower(substr(t, 1, 9)) = '<!doctype' AS doctype FROM t
+"""
+)
 def pure_formats(spark: SparkSession, sf: str) -> DataFrame:
-    h = F.col("html")
-    return table(spark, sf, "pages").select("page_id", detect.is_pure_html(h).alias("pure_html"), detect.is_pure_json(h).alias("pure_json"), F.lower(F.substring(h, 1, 9)).eqNullSafe("<!doctype").alias("doctype"))
+    """Pages, JSON objects, bare tags, prose with a tag, XML and broken JSON, in turn."""
+    t = F.col("t")
+    texts = table(spark, sf, "pages").select("page_id", F.expr(_PURE).alias("t"))
+    return texts.select("page_id", detect.is_pure_html(t).alias("pure_html"), detect.is_pure_json(t).alias("pure_json"), F.lower(F.substring(t, 1, 9)).eqNullSafe("<!doctype").alias("doctype"))
 
 
 @query(
@@ -346,7 +302,7 @@ def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     rf"""
-WITH p AS (SELECT document_id, list_filter(list_transform(string_split(regexp_replace(chr(10) || {strip_sql("raw_text")}, '\n(#{{1,2}} )', chr(1) || '\1', 'g'), chr(1)), lambda x: {strip_sql("x")}), lambda x: x <> '') AS parts FROM {_CONVERSATIONS})
+WITH p AS (SELECT document_id, list_filter(list_transform(string_split(regexp_replace(chr(10) || {strip_sql("raw_text")}, '\n(#{{1,2}} )', chr(1) || '\1', 'g'), chr(1)), lambda x: {strip_sql("x")}), lambda x: x <> '') AS parts FROM {CONVERSATIONS})
 SELECT document_id, generate_subscripts(parts, 1) AS page_number, unnest(parts) AS text FROM p
 """
 )
@@ -390,11 +346,6 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("format"), F.lit(0).alias("rank"), F.col("event_id").cast("int").alias("seq"), start.cast("int").alias("start"), end.cast("int").alias("end"), ((F.col("event_id") * 7) % 10 / 10.0).alias("confidence"), F.lit("").alias("content"))
 
 
-@query()
-def settle_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return mixed.settle_overlaps(regions(spark, sf)).drop("content")
-
-
 @query(
     r"""
 WITH r AS (SELECT user_id, (event_id * 37) % 400 AS s, (event_id * 37) % 400 + 1 + (event_id * 13) % 30 AS e FROM events),
@@ -501,13 +452,6 @@ def similarity_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("label", context.strength(score).alias("strength"), context.badge(score).alias("badge")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query(r"SELECT vec_id, label, count(*) OVER (PARTITION BY label) - 1 AS related FROM embeddings")
-def related_counts(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    counts = e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("related"))
-    return e.select("vec_id", "label").join(counts, "label").select("vec_id", "label", "related")
-
-
 @query(
     r"""
 SELECT conv_id AS document_id, role AS topic, count(*) AS chunks, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS merged_text FROM conversations GROUP BY 1, 2
@@ -524,9 +468,10 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(context.STOP_WORDS))
 
 @query(
     rf"""
-WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z][a-z]+')) AS term FROM documents),
-c AS (SELECT lang, term, count(*) AS tf FROM w WHERE term NOT IN ({_STOP}) GROUP BY 1, 2),
-d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+WITH l AS (SELECT lang, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: t NOT IN ({_STOP})) AS w FROM documents),
+u AS (SELECT lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM l),
+c AS (SELECT lang, term, count(*) AS tf FROM u GROUP BY 1, 2),
+d AS (SELECT term, count(*) AS df FROM c GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 500),
 n AS (SELECT count(DISTINCT lang) AS n FROM documents),
 x AS (SELECT lang, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM c JOIN d USING (term), n),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY w DESC, term) AS place, sqrt(sum(w * w) OVER (PARTITION BY lang)) AS norm FROM x)

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from docflow.plans import catalog
+from docflow.plans import catalog, outputs  # noqa: F401  each registers its queries
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
