@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from docflow.operators import batches as core
+
 
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them to str."""
@@ -27,18 +29,14 @@ def by_bytes(items: list, size: Callable[[object], int], limit: int) -> Iterator
         yield start, len(items)
 
 
-#: Bytes of an Arrow batch where the session keeps Spark's default, and of a slice worked on at once.
-BATCH_BYTES, SLICE_BYTES, DEFAULT_BYTES = "2m", 2 << 20, 64 << 20
-
-
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches to BATCH_BYTES unless the session has set its own bound.
+    """Bound Arrow batches to two megabytes unless the session has set its own bound.
 
     A batch is held by the JVM and the Python worker at once; long texts would make it large.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key).rstrip("b") == str(DEFAULT_BYTES):
-        spark.conf.set(key, BATCH_BYTES)
+    if spark.conf.get(key).rstrip("b") == str(core.DEFAULT_BYTES):
+        spark.conf.set(key, core.BATCH_BYTES)
 
 
 def release() -> None:
@@ -51,12 +49,9 @@ def release() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of about SLICE_BYTES of each batch; memory is given back at the end of a partition."""
+    """Parts of bounded size of each batch; memory is given back at the end of a partition."""
     try:
-        for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
-            for start in range(0, batch.num_rows, rows):
-                yield batch.slice(start, rows)
+        yield from core.slices(batches)
     finally:
         release()
 

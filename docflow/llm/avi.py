@@ -258,8 +258,10 @@ def op4_avi_media(documents: DataFrame) -> DataFrame:
 
     doc_id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 of the bytes read back,
     media_bytes, media_sha256, feature, n_clips. Null and empty texts are a unit of spaces.
-    Each text is stored and read by itself, so nothing is shuffled; memory holds one batch of
-    texts, one container and one frame.
+    The container is made in memory and parsed from its bytes there; `store_documents` and
+    `avi_clips` are the two halves with a column of containers, or files, between them, the latter
+    with a row for each timed clip. Nothing is shuffled; memory holds one batch of texts, one
+    container and one frame.
     """
     kinds = {"long": pa.int64(), "string": pa.string()}
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips long"

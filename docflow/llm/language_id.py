@@ -130,22 +130,22 @@ def least_known(flags: np.ndarray, which: np.ndarray, count: int, params: Kernel
 def labelled_sample(labelled: DataFrame, params: KernelParams) -> DataFrame:
     """A bounded sample of (doc_id, text, lang): per language the rows of least hash of doc_id.
 
-    The choice is made on (doc_id, lang) alone, first in parts of a language and then in the
-    language, and each window's limit is pushed below its shuffle; so no task meets more than a
-    few thousand narrow rows of a hot language. The texts of the chosen ids (``rows_in_all`` at
+    The choice is made on (doc_id, lang) alone. Languages are counted first, with partial
+    aggregation, and a language of n rows keeps those whose hash lies in the part of all hashes
+    that holds four times the wanted rows on average (fewer than wanted: once in 10**100); so
+    the window over a language, however hot, meets some thousand distinct rows. The texts of the chosen ids (``rows_in_all`` at
     most, so they are broadcast) come from a second scan. Languages beyond ``rows_in_all`` rows
     in all are thinned evenly: each keeps its first rows; of more than ``rows_in_all`` languages
     the first by name are learned and texts of the others are told as one of those or rejected. Rows without doc_id are not chosen;
     of rows with the same doc_id and language the least text is.
     """
     key = F.xxhash64("doc_id")
-    ids = labelled.filter(F.col("doc_id").isNotNull()).select("doc_id", "lang", F.pmod(key, F.lit(32)).alias("_part"), key.alias("_hash"))
-
-    def least(rows: DataFrame, *by: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(*by).orderBy("_hash", "doc_id"))
-        return rows.withColumn("_n", place).filter(F.col("_n") <= params.rows_per_language)
-
-    chosen = least(least(ids, "lang", "_part"), "lang").orderBy("_n", "lang").limit(params.rows_in_all).select("doc_id", "lang").distinct()
+    ids = labelled.filter(F.col("doc_id").isNotNull()).select("doc_id", "lang", key.alias("_hash"))
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("_count")).orderBy("lang").limit(params.rows_in_all)
+    part = F.col("_hash") / F.lit(2.0**64) + 0.5
+    few = ids.join(F.broadcast(counts), "lang").filter(part * F.col("_count") <= 4 * params.rows_per_language).select("doc_id", "lang", "_hash").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
+    chosen = few.withColumn("_n", place).filter(F.col("_n") <= params.rows_per_language).orderBy("_n", "lang").limit(params.rows_in_all).select("doc_id", "lang")
     found = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
