@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space, with the ASCII separators 1C to 1F.
+#: White space, with the ASCII separators 1C to 1F: as a class, and each character.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Ends of lines besides the carriage returns that `lines` turns into line feeds.
 LINE_BREAK = r"[\n\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    """Without white space at either end; looks at the ends only."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:

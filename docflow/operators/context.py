@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from docflow.functions.text import stable_id
 from docflow.operators.batches import map_tuples
 from docflow.operators.chunking import HEADER
+from docflow.operators.skew import join_groups
 from docflow.plans.staging import staged
 
 _HEADER = re.compile(HEADER, re.MULTILINE)
@@ -187,21 +188,26 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def centroids(points: DataFrame, topic: str = "topic_id", vector: str = "embedding") -> DataFrame:
-    """Mean vector of each topic, not of unit length: (topic, centroid).
+    """Mean vector of each topic, not of unit length: (topic, centroid, rows).
 
     Each dimension is averaged with map-side partial sums, so a topic with most of the rows
     costs a row per dimension and task.
     """
     long = points.select(topic, F.posexplode(vector).alias("dim", "x"))
-    means = long.groupBy(topic, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    listed = means.groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("items"))
-    return listed.select(topic, F.transform("items", lambda x: x["m"]).alias("centroid"))
+    means = long.groupBy(topic, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
+    listed = means.groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("items"), F.max("n").alias("rows"))
+    return listed.select(topic, F.transform("items", lambda x: x["m"]).alias("centroid"), "rows")
 
 
 def topic_similarity(points: DataFrame, topic: str = "topic_id", vector: str = "embedding", digits: int = 4) -> DataFrame:
-    """``points`` with the dot product of each vector and its topic's centroid."""
-    joined = points.join(centroids(points, topic, vector), topic)
-    return joined.withColumn("similarity_score", F.round(dot(F.col(vector), F.col("centroid")), digits) + F.lit(0.0)).drop("centroid")
+    """``points`` with the dot product of each vector and its topic's centroid.
+
+    Centroids are staged; those of hot topics are broadcast, so that a topic with most of the rows is
+    not sent to one task. Points without a topic are left out.
+    """
+    own = staged(centroids(points, topic, vector), "centroids")
+    joined = join_groups(points, own, topic, "rows", own.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    return joined.withColumn("similarity_score", F.round(dot(F.col(vector), F.col("centroid")), digits) + F.lit(0.0)).drop("centroid", "rows")
 
 
 def strength(score: Column) -> Column:

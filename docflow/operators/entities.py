@@ -7,13 +7,15 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from docflow.functions.text import stable_id
 from docflow.operators.batches import map_tuples
 from docflow.operators.components import components
+from docflow.operators.skew import join_groups
+from docflow.plans.staging import staged
 
 #: Types, and least scores by type and for short texts.
 ENTITY_TYPES = ("PERSON", "ORG", "PRODUCT", "LOCATION", "DATE", "EVENT", "ROLE", "SKILL")
@@ -99,23 +101,50 @@ def threshold(kind: Column, a: Column, b: Column) -> Column:
     return F.when(short, F.lit(SHORT_THRESHOLD)).otherwise(F.coalesce(F.element_at(table, kind), F.lit(DEFAULT_THRESHOLD)))
 
 
+#: Texts of a block that one task compares with as many others.
+PART = 512
+
+
+def block_pairs(keyed: DataFrame) -> DataFrame:
+    """Pairs of texts of a block (type, l, r) that could be over the threshold, each once.
+
+    ``keyed``: type, text, node, block. A large block is dealt by hash into parts, and each pair of
+    parts is a group of the join, so no task meets a whole hot block. Before any text is
+    scored, pairs go that share no word and whose lengths alone keep them under the threshold.
+    """
+    sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    total = keyed.count()
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = join_groups(keyed, sizes, "block", "n", max(1, total)).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
+    size = F.length(F.array_join(F.array_sort(words), " "))
+    row = F.struct("node", "text", words.alias("words"), size.alias("size"))
+    left = dealt.select("block", "type", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), row.alias("l"))
+    right = dealt.select("block", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), row.alias("r"))
+    pairs = left.join(right, ["block", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("l.text") < F.col("r.text")))
+    reach = 200.0 * F.least("l.size", "r.size") / (F.col("l.size") + F.col("r.size"))
+    could = F.arrays_overlap("l.words", "r.words") | (reach >= threshold(F.col("type"), F.col("l.text"), F.col("r.text")))
+    return pairs.filter(could).select("type", "l", "r")
+
+
 def canonical_entities(entities: DataFrame) -> DataFrame:
     """(id, text, type, ...) -> (type, text, frequency, canonical_text, canonical_id).
 
     Distinct texts of a block are scored in pairs; pairs over the threshold are merged by
     connected components; the most frequent text (then the longest, then the least) names its
-    set. Repeats of a text are counted first, so they add no pairs.
+    set. Repeats of a text are counted first, so they add no pairs. Entities without a type or
+    text are left out.
     """
-    texts = entities.groupBy("type", "text").agg(F.count(F.lit(1)).alias("frequency"))
-    keyed = texts.select("*", block_key(F.col("type"), F.col("text")).alias("block"), F.xxhash64("type", "text").alias("node"))
-    left, right = keyed.alias("l"), keyed.alias("r")
-    pairs = left.join(right, (F.col("l.block") == F.col("r.block")) & (F.col("l.text") < F.col("r.text")))
-    scored = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.type").alias("type"), F.col("l.text").alias("x"), F.col("r.text").alias("y"))
+    texts = entities.filter("type IS NOT NULL AND text IS NOT NULL").groupBy("type", "text").agg(F.count(F.lit(1)).alias("frequency"))
+    keyed = staged(texts.select("*", block_key(F.col("type"), F.col("text")).alias("block"), F.xxhash64("type", "text").alias("node")), "entities")
+    scored = block_pairs(keyed).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), "type", F.col("l.text").alias("x"), F.col("r.text").alias("y"))
     same = scored.filter(set_ratio("x", "y") >= threshold(F.col("type"), F.col("x"), F.col("y")))
     roots = components(same.select("a", "b"))
     grouped = keyed.join(roots, "node", "left").withColumn("set", F.coalesce("root", "node"))
-    order = Window.partitionBy("set").orderBy(F.col("frequency").desc(), F.length("text").desc(), "text")
-    named = grouped.withColumn("canonical_text", F.first("text").over(order))
+    # The least text of those most frequent, then longest: a minimum over what is negated.
+    rank = F.struct((-F.col("frequency")).alias("f"), (-F.length("text")).alias("n"), "text")
+    names = staged(grouped.groupBy("set").agg(F.min(rank)["text"].alias("canonical_text"), F.count(F.lit(1)).alias("texts")), "names")
+    named = join_groups(grouped, names, "set", "texts", max(1, keyed.count()))
     return named.select("type", "text", "frequency", "canonical_text", stable_id(F.col("type"), F.col("canonical_text")).alias("canonical_id"))
 
 
@@ -143,7 +172,7 @@ def acronyms(texts: DataFrame) -> DataFrame:
 def extraction_totals(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """One row: numbers of chunks, entities and relations."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return one(chunks, "total_chunks").join(one(entities, "total_entities")).join(one(relations, "total_relations"))
+    return one(chunks, "total_chunks").crossJoin(one(entities, "total_entities")).crossJoin(one(relations, "total_relations"))
 
 
 def graphml(entities: DataFrame, relations: DataFrame) -> DataFrame:
