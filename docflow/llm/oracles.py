@@ -14,6 +14,19 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 FROM d JOIN g USING (text_sha256)
 """
 
+#: Shingles as texts, all pairs that share one, and everything that links reach.
+OP7 = f"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM t),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id > b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.a, r.root FROM r JOIN e ON r.doc_id = e.b)
+SELECT doc_id, any_value(n) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -93,6 +106,7 @@ SELECT doc_id, held_out, round(evidence, 6) AS evidence, CASE WHEN source IS NUL
 
 SQL = {
     "op3_quality_bayes": _quality(),
+    "op7_lsh_forest": OP7,
     "op8_exact_dedup": OP8,
     "op10_systematic_mix": OP10,
 }
