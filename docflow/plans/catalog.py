@@ -524,12 +524,12 @@ def page_export(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     r"""
-WITH t AS (SELECT doc_id, replace(replace(substr(text, 1, 200), 'o', '0'), 'I', '1') AS noisy FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(noisy, '\b0([A-Za-z])', 'O\1', 'g'), '([A-Za-z])0\b', '\1o', 'g'), '\b1([A-Za-z])', 'I\1', 'g'), '([A-Za-z])1\b', '\1l', 'g') AS fixed FROM t WHERE NOT regexp_matches(noisy, '[^\x00-\x7F]')
+WITH t AS (SELECT doc_id, replace(replace(text, 'o', '0'), 'I', '1') AS noisy FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(noisy, '(^|[^\p{L}\p{N}_])0([A-Za-z])', '\1O\2', 'g'), '([A-Za-z])0([^\p{L}\p{N}_]|$)', '\1o\2', 'g'), '(^|[^\p{L}\p{N}_])1([A-Za-z])', '\1I\2', 'g'), '([A-Za-z])1([^\p{L}\p{N}_]|$)', '\1l\2', 'g') AS fixed FROM t
 """
 )
 def ocr_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules on every whole text, made noisy. The SQL covers less: 200 characters of ASCII texts."""
+    """Rules on every whole text, made noisy."""
     noisy = F.replace(F.replace("text", F.lit("o"), F.lit("0")), F.lit("I"), F.lit("1"))
     return table(spark, sf, "documents").select("doc_id", correct.ocr_rules(noisy).alias("fixed"))
 
@@ -537,8 +537,8 @@ def ocr_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     r"""
 WITH d AS (SELECT word, count(*) AS frequency FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) GROUP BY 1),
-u AS (SELECT DISTINCT word FROM (SELECT word[2:] AS word FROM d) WHERE length(word) BETWEEN 2 AND 24 AND word NOT IN (SELECT word FROM d)),
-m AS (SELECT u.word, d.word AS correction, d.frequency, levenshtein(u.word, d.word) AS distance FROM u, d WHERE length(d.word) <= 26 AND abs(length(u.word) - length(d.word)) <= 2),
+u AS (SELECT DISTINCT word FROM (SELECT word[2:] AS word FROM d) WHERE word <> '' AND word NOT IN (SELECT word FROM d)),
+m AS (SELECT u.word, d.word AS correction, d.frequency, levenshtein(u.word, d.word) AS distance FROM u, d WHERE abs(length(u.word) - length(d.word)) <= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, frequency DESC, correction) AS n FROM m WHERE distance <= 2)
 SELECT word, correction, distance FROM r WHERE n = 1
 """
