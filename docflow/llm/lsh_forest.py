@@ -337,6 +337,11 @@ def op7_lsh_forest(documents: DataFrame, params: ForestParams = ForestParams())
 
 
 def drop_near_copies(documents: DataFrame, params: ForestParams = ForestParams(width=5)) -> DataFrame:
-    """Documents with one of each near-duplicate component left, the one of least doc_id."""
+    """Documents with one of each near-duplicate component left, the one of least doc_id.
+
+    Links are those of five-word shingles at 0.8 or more, which is what near-duplicate stages take;
+    `op7_lsh_forest` takes two-word shingles, as its contract says, and so links more.
+    Rows without doc_id stay; repeats of a doc_id stay or go together; columns stay as they are.
+    """
     found = staged(near_components(documents, params), "components")
     return without_ids(documents, found.filter(~F.col("kept")).select("doc_id").distinct())
