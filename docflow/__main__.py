@@ -1,4 +1,4 @@
-"""Command line: python -m docflow --file PATH | --batch FOLDER [--output FOLDER] | --version"""
+"""Command line: python -m docflow --file PATH | --batch FOLDER [--output FOLDER] | --version [-v]"""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ def main(args: list[str] | None = None) -> int:
     what.add_argument("--batch", help="a folder: results and a summary of all files below it")
     what.add_argument("--version", action="version", version=__version__)
     parser.add_argument("--output", help="a folder for the JSON results; without it they are printed")
+    parser.add_argument("-v", "--verbose", action="store_true", help="Spark's own messages, too")
     given = parser.parse_args(args)
 
     from docflow.operators import jobs
@@ -22,6 +23,8 @@ def main(args: list[str] | None = None) -> int:
     from docflow.sources import ingest
 
     spark = local_session()
+    if given.verbose:
+        spark.sparkContext.setLogLevel("INFO")
     if given.batch:
         found, summary = jobs.batch(ingest.read_files(spark, given.batch), given.output)
         one = summary.first()

@@ -180,6 +180,11 @@ def context_groups(chunks: DataFrame) -> DataFrame:
     return grouped.select("document_id", "topic_id", "topic_label", "topic_words", merged.alias("merged_text"), F.size("items").alias("chunks"), "similarity_score", "coherence_score", F.lit("context_merged").alias("method"))
 
 
+def in_order(groups: DataFrame) -> DataFrame:
+    """Groups with their ``place`` in the document, from 0, by topic."""
+    return groups.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("topic_id")) - 1)
+
+
 # With embeddings and topics given
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -60,6 +60,33 @@ def extract(chunks: DataFrame, extractor: str = "rules") -> DataFrame:
     return found.withColumn("id", stable_id(F.col("chunk_id"), F.col("type"), F.col("start")))
 
 
+#: Relation of two mentions by their types, and words between them that it asks for (none: any).
+RELATION_RULES = (
+    ("ORG", "PERSON", r"(?i)\bfounded by\b", "FOUNDED_BY"),
+    ("PERSON", "ORG", r"(?i)\b(?:works?|worked) (?:at|for)\b|\bof\b|\bat\b", "WORKS_AT"),
+    ("PERSON", "PERSON", r"(?i)\bwith\b|\band\b", "COLLABORATED_WITH"),
+    ("PERSON", "SKILL", "", "HAS_SKILL"),
+    ("ORG", "LOCATION", r"(?i)\bin\b", "LOCATED_IN"),
+    ("ORG", "ORG", r"(?i)\bpart of\b", "PART_OF"),
+    ("PRODUCT", "DATE", r"(?i)\bon\b", "PUBLISHED_ON"),
+    ("LOCATION", "DATE", r"(?i)\bon\b", "PUBLISHED_ON"),
+)
+
+
+def relate(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Relations (chunk_id, head, tail, type) of each mention and the next in its chunk; a stand-in for a model.
+
+    ``mentions`` as `extract` gives them; ``chunks``: chunk_id, text. The first of RELATION_RULES that
+    holds names the relation, MENTIONS otherwise. Linear in the mentions: no pairs of a whole chunk.
+    """
+    order = Window.partitionBy("chunk_id").orderBy("start", "type")
+    pairs = mentions.withColumn("next", F.lead(F.struct("id", "type", "start")).over(order)).filter("next IS NOT NULL")
+    found = pairs.join(chunks.select("chunk_id", F.col("text").alias("_text")), "chunk_id")
+    between = F.substring(F.col("_text"), F.col("end") + 1, F.greatest(F.col("next.start") - F.col("end"), F.lit(0)))
+    kind = [F.when((F.col("type") == head) & (F.col("next.type") == tail) & (between.rlike(cue) if cue else F.lit(True)), F.lit(name)) for head, tail, cue, name in RELATION_RULES]
+    return found.select("chunk_id", F.col("id").alias("head"), F.col("next.id").alias("tail"), F.coalesce(*kind, F.lit("MENTIONS")).alias("type"))
+
+
 # Merging
 
 

@@ -133,6 +133,11 @@ def document_json(documents: DataFrame, sections: DataFrame) -> DataFrame:
     return joined.select("document_id", F.concat(F.lit('{"document":'), head, F.lit(',"sections":['), F.coalesce("body", F.lit("")), F.lit("]}")).alias("json"))
 
 
+def block_counts(blocks: DataFrame) -> DataFrame:
+    """(document_id, pages, blocks, regions) of blocks (document_id, page_number, block_idx, ...), a row for each region."""
+    return blocks.groupBy("document_id").agg(F.count_distinct("page_number").alias("pages"), F.count_distinct("page_number", "block_idx").alias("blocks"), F.count(F.lit(1)).alias("regions"))
+
+
 def text_export(sections: DataFrame) -> DataFrame:
     """(document_id, text): sections under lines that name their type, between blank lines."""
     part = F.concat(F.lit("=== "), F.upper("section_type"), F.lit(" SECTION ===\n"), F.col("content"))

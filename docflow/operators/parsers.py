@@ -16,9 +16,10 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.functions.text import line_count, not_blank, word_count
 from docflow.operators.batches import map_tuples
 
 
@@ -505,9 +506,36 @@ def section_rows(documents: DataFrame, run: Callable[[str, str | None], list[Sec
     return map_tuples(documents.select("document_id", "raw_text", "mime_type"), work, SCHEMA, ARROW)
 
 
+def plain_sections(documents: DataFrame) -> DataFrame:
+    """`parse_plain` of (document_id, raw_text) as Columns: no Python, no shuffle."""
+    text = F.coalesce("raw_text", F.lit(""))
+    parts = not_blank(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n\n", -1))
+    shaped = documents.select("document_id", text.alias("_text"), parts.alias("_parts"))
+
+    def section(kind: str, content: Column, *metadata: tuple[str, Column]) -> Column:
+        pairs = [x for name, value in metadata for x in (F.lit(name), value.cast("string"))]
+        return F.struct(F.lit(kind).alias("section_type"), content.alias("content"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("metadata"))
+
+    count, own = F.size("_parts"), F.col("_text")
+    paragraphs = F.transform("_parts", lambda p: section("paragraph", p, ("word_count", word_count(p)), ("char_count", F.length(p))))
+    size = F.concat(F.lit("Words: "), word_count(own), F.lit(", Characters: "), F.length(own), F.lit(", Lines: "), line_count(own))
+    lines = F.concat(F.lit("Document contains "), count, F.lit(" sections\n"), size, F.lit("\nSections: "), count, F.lit(" paragraph"))
+    summary = F.array(section("summary", lines, ("section_count", count)))
+    found = F.when(count == 0, F.array(section("empty", F.lit(EMPTY)))).when(count > 1, F.concat(summary, paragraphs)).otherwise(paragraphs)
+    rows = shaped.select("document_id", F.posexplode(found).alias("section_idx", "s"))
+    return rows.select("document_id", "section_idx", "s.section_type", "s.content", "s.metadata")
+
+
 def parse(documents: DataFrame) -> DataFrame:
-    """Sections of documents by their MIME types, in one pass without a shuffle."""
-    return section_rows(documents, lambda text, mime: parser_of(mime)(text))
+    """Sections of documents by their MIME types, without a shuffle.
+
+    Types with a parser go through one Python pass (HTML needs a tree, CSV a dialect, JSON the order
+    of keys, which VARIANT does not keep, Markdown a state from line to line); all others are plain
+    text, which is Columns. The test of the type is a filter that the scan can take.
+    """
+    marked = documents.select(F.col("document_id").cast("string").alias("document_id"), "raw_text", "mime_type")
+    own = F.coalesce(F.col("mime_type").isin(*_PARSERS), F.lit(False))
+    return section_rows(marked.filter(own), lambda text, mime: parser_of(mime)(text)).unionByName(plain_sections(marked.filter(~own)))
 
 
 def summarise(sections: DataFrame) -> DataFrame:

@@ -824,3 +824,58 @@ def graph_lines(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("canonical_id"), F.concat("n_name", F.lit(" <&>")).alias("canonical_text"), F.lit("LOCATION").alias("type"))
     edges = table(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("head"), F.concat(F.lit("n"), F.col("s_suppkey") % 5).alias("tail"), F.lit("PART_OF").alias("type"))
     return entities.graphml(nodes, edges)
+
+
+@query(
+    r"""
+WITH e AS (SELECT CAST(c_custkey AS VARCHAR) AS c FROM customer)
+SELECT c AS chunk_id, unnest([sha256(c || '|PERSON|0'), sha256(c || '|ORG|16'), sha256(c || '|LOCATION|32')]) AS head, unnest([sha256(c || '|ORG|16'), sha256(c || '|LOCATION|32'), sha256(c || '|DATE|44')]) AS tail,
+  unnest(['MENTIONS', 'LOCATED_IN', 'PUBLISHED_ON']) AS type FROM e
+"""
+)
+def mention_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations of neighbouring mentions by their types and the words between."""
+    chunks = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("chunk_id"), F.expr(_ENTITY_TEXT).alias("text"))
+    return entities.relate(entities.extract(chunks), chunks)
+
+
+@query(
+    r"""
+WITH r AS (SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1)
+SELECT r_name || '.docx' AS document_id, 1::BIGINT AS pages, 1::BIGINT AS blocks, 5::BIGINT AS regions FROM r UNION ALL SELECT r_name || '.xlsx', 2, 2, 3 FROM r
+"""
+)
+def block_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.block_counts(office.office_regions(office_files(spark, sf)))
+
+
+@query(
+    rf"""
+WITH t AS (SELECT conv_id, list({strip_sql("text")} ORDER BY turn) AS x FROM conversations GROUP BY 1),
+p AS (SELECT conv_id, list_concat(x, ['# Heading' || chr(10) || 'body of it', 'two words', 'Part one is a header', 'short one.']) AS x FROM t),
+k AS (SELECT conv_id, x, list_filter(x, lambda p: NOT regexp_matches(p, '^(#{{1,6}}\s+\S.*|\d+[.)]\s+[A-Z]\S*.*|(Chapter|Section|Part|Appendix)\s+\S.*|[A-Z][A-Z ]{{3,60}})(\n|$)')
+  AND (len(string_split_regex(p, '\s+')) > 3 OR regexp_matches(p, '[.!?]'))) AS kept FROM p),
+c AS (SELECT conv_id, CASE WHEN len(kept) < 4 THEN 'paragraph' ELSE 'context' END AS method, CASE WHEN len(kept) < 4 THEN x ELSE kept END AS texts FROM k)
+SELECT CAST(conv_id AS VARCHAR) AS document_id, generate_subscripts(texts, 1) - 1 AS chunk_index, method, unnest(texts) AS text FROM c
+"""
+)
+def topic_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs that carry content: no headers, none of a few words; all of them where fewer than four are left."""
+    t = table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    more = F.array(*map(F.lit, ("# Heading\nbody of it", "two words", "Part one is a header", "short one.")))
+    docs = t.select("document_id", F.concat(F.transform("x", lambda x: F.regexp_replace(x["text"], r"^\s+|\s+$", "")), more).alias("paragraphs"))
+    return whole(context.context_chunks(docs).select("document_id", "chunk_index", "method", "text"))
+
+
+@query(
+    r"""
+WITH g AS (SELECT conv_id, role, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS merged, avg(length(text) % 10 / 10.0) AS s FROM conversations GROUP BY 1, 2)
+SELECT conv_id AS document_id, role AS topic_id, row_number() OVER (PARTITION BY conv_id ORDER BY role) - 1 AS place, n AS chunks, merged AS merged_text, round(s::DOUBLE, 4) AS similarity_score, 'context_merged' AS method FROM g
+"""
+)
+def ordered_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Topic groups in order of their topic, with mean similarity and merged text."""
+    t = table(spark, sf, "conversations")
+    score = (F.length("text") % 10 / F.lit(10.0)).alias("similarity_score")
+    chunks = t.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("role").alias("topic_id"), "text", score, F.col("role").alias("topic_label"), F.array("role").alias("topic_words"), F.lit(1.0).alias("coherence_score"))
+    return whole(context.in_order(context.context_groups(chunks)).select("document_id", "topic_id", "place", "chunks", "merged_text", "similarity_score", "method"))

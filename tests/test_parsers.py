@@ -122,3 +122,14 @@ def test_dispatch_and_errors_are_rows(spark):
     assert by == {"a": ["header", "data_row", "summary"], "b": ["header_h1"], "c": ["empty"], "d": ["paragraph"]}
     counted = mixed.format_summary(mixed.parse(spark.createDataFrame([("m", "words here\n\n{\"a\": 1}", None)], "document_id string, raw_text string, mime_type string")))
     assert {(r.region_format, r.sections) for r in counted.collect()} == {("unknown", 1), ("text", 1), ("json", 2)}
+
+
+def test_plain_sections_as_columns_equal_the_parser(spark):
+    texts = ["", " \n ", "one", "a b\r\n\r\nc\n\n\n\n d\u3000\n\n", "x\n\ny\x1c\n\n\x1f", "é\n \nü", None]
+    df = spark.createDataFrame([(str(k), t, m) for k, t in enumerate(texts) for m in ("text/plain", None, "application/xml")], "document_id string, raw_text string, mime_type string")
+    found = {}
+    for r in parsers.parse(df).orderBy("document_id", "section_idx").collect():
+        found.setdefault(r.document_id, []).append((r.section_idx, r.section_type, r.content, sorted(r.metadata.items())))
+    for k, t in enumerate(texts):
+        own = [(n, s.kind, s.content, sorted(parsers.shown(s.metadata))) for n, s in enumerate(parsers.parse_plain(t or ""))]
+        assert sorted(map(str, found[str(k)])) == sorted(map(str, own * 3))
