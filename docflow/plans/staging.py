@@ -7,6 +7,7 @@ nothing that was written, and Spark's commit protocol makes retried tasks safe.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docflow-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -42,6 +43,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def clear_staging(spark: SparkSession) -> None:
-    """Delete this application's staged tables (results that read from them go too)."""
+    """Delete this application's staged tables; call it when results that read from them are stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

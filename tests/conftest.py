@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from docflow.plans.staging import clear_staging  # noqa: E402
 from docflow.session import local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -14,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = local_session(4, memory="4g", app="docflow-tests", **{"spark.sql.shuffle.partitions": "4"})
     yield session
+    clear_staging(session)
     session.stop()
 
 

@@ -447,3 +447,53 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "b").write_bytes(b"two\nlines")
     assert main(["--batch", str(tmp_path), "--output", str(tmp_path / "out")]) == 1
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["failed_files"] == 1
+
+
+def test_entities_in_parts_against_brute_force(spark, monkeypatch):
+    """Blocks dealt in parts of four texts, with the pairs that are dropped before scoring, give what all pairs give."""
+    monkeypatch.setattr(entities, "PART", 4)
+    rng = random.Random(3)
+    words = ["acme", "acmes", "group", "corp", "corporation", "north", "south", "ltd", "ab", "abc"]
+    rows = []
+    for i in range(160):
+        text = " ".join(rng.choice(["acm", "Acm"]) + w if k == 0 else w for k, w in enumerate(rng.choices(words, k=rng.randint(1, 3))))
+        rows.append((str(i), text, rng.choice(["ORG", "ORG", "PERSON", "PRODUCT"])))
+    rows += [("n1", None, "ORG"), ("n2", "acme", None)]
+    frequency = {}
+    for _, text, kind in rows[:160]:
+        frequency[kind, text] = frequency.get((kind, text), 0) + 1
+    keys, root = sorted(frequency), {k: k for k in frequency}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(keys):
+        for b in keys[k + 1 :]:
+            least = entities.SHORT_THRESHOLD if min(len(a[1]), len(b[1])) <= entities.SHORT else entities.THRESHOLDS.get(a[0], entities.DEFAULT_THRESHOLD)
+            if a[0] == b[0] and a[1][:3].lower() == b[1][:3].lower() and entities.token_set_ratio(a[1], b[1]) >= least:
+                root[find(b)] = find(a)
+    groups = {}
+    for key in keys:
+        groups.setdefault(find(key), []).append(key)
+    expected = {key: min(own, key=lambda x: (-frequency[x], -len(x[1]), x[1]))[1] for own in groups.values() for key in own}
+    found = entities.canonical_entities(spark.createDataFrame(rows, "id string, text string, type string")).collect()
+    assert {(r.type, r.text): r.canonical_text for r in found} == expected and len(groups) < len(keys)
+    assert {(r.type, r.text): r.frequency for r in found} == frequency
+
+
+def test_relations_of_neighbouring_mentions(spark):
+    chunks = spark.createDataFrame([("c", "Dr. Ann Lee of Acme Corp met Prof. Bo Ray and Mr. Cy Doe in Rome. Acme Corp founded by Mr. Cy Doe"), ("d", "no names"), ("e", None)], "chunk_id string, text string")
+    mentions = entities.extract(chunks)
+    names = {r.id: r.text for r in mentions.collect()}
+    found = [(names[r.head], names[r.tail], r.type) for r in entities.relate(mentions, chunks).collect()]
+    assert ("Dr. Ann Lee", "Acme Corp", "WORKS_AT") in found and ("Prof. Bo Ray", "Mr. Cy Doe", "COLLABORATED_WITH") in found and ("Acme Corp", "Mr. Cy Doe", "FOUNDED_BY") in found
+    assert {t for *_, t in found} <= set(entities.RELATION_TYPES)
+
+
+@pytest.mark.parametrize("job", [ingest.ingest, lambda df: jobs.process(df)[1], lambda df: jobs.results(*jobs.process(df))])
+def test_empty_tables_and_nulls_in_a_batch(spark, job):
+    schema = "source_name string, raw_bytes binary, raw_text string"
+    assert job(spark.createDataFrame([], schema)).count() == 0
+    assert job(spark.createDataFrame([(None, None, None), (None, bytearray(b"x"), None), ("a.txt", bytearray(b""), None), ("a.pdf", bytearray(b""), "text")], schema)).collect() is not None
