@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docflow.llm.hilbert import BITS, DIMENSIONS, SHARDS, curve_tables
 from docflow.llm.quality import CELLS, UNIT, QualityParams
 
 #: Lower-case A-Z only; MD5 and SHA-256 are of UTF-8 text in both engines.
@@ -60,6 +61,39 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 
 
 
+#: CRC-32 of a text's UTF-8 bytes, from its table made by rule; ``t`` is the text.
+_CRC_TABLE = "(SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS crc FROM (SELECT unnest(range(0, 256)) AS n))"
+_BYTES = "list_transform(range(1, strlen({t}) + 1), lambda i: (strpos('0123456789ABCDEF', h[2 * i - 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i]) - 1)"
+
+
+def _hilbert() -> str:
+    """Quantile cells of each dimension, a step of the curve for each bit plane, runs of the order."""
+    entry, direction, rank = map(list, curve_tables(len(DIMENSIONS)))
+    dims, mask, cells = len(DIMENSIONS), (1 << len(DIMENSIONS)) - 1, 1 << BITS
+    quantiles = ", ".join(
+        f"""q{k} AS (SELECT v, floor((coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) * {cells} / sum(n) OVER ())::INT AS cell
+  FROM (SELECT {c} AS v, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY 1))"""
+        for k, c in enumerate(DIMENSIONS)
+    )
+    joins = " ".join(f"LEFT JOIN q{k} ON d.{c} = q{k}.v" for k, c in enumerate(DIMENSIONS))
+    planes = ""
+    turn = lambda x, by, up: f"((({x}) {'<<' if up else '>>'} ({by})) | (({x}) {'>>' if up else '<<'} ({dims} - ({by})))) & {mask}"
+    for step, bit in enumerate(range(BITS - 1, -1, -1)):
+        plane = " | ".join(f"(((c{k} >> {bit}) & 1) << {k})" for k in range(dims))
+        planes += f"""p{step} AS (SELECT *, {rank}[({turn(f'xor({plane}, e)', f'(d + 1) % {dims}', False)}) + 1] AS w, (d + 1) % {dims} AS turn FROM s{step}),
+s{step + 1} AS (SELECT * EXCLUDE (h, e, d, w, turn), (h << {dims}) | w AS h, xor(e, {turn(f'{entry}[w + 1]', 'turn', True)}) AS e, (d + {direction}[w + 1] + 1) % {dims} AS d FROM p{step}),
+"""
+    return f"""
+WITH x AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+d AS (SELECT doc_id, source, lang, strlen(t) + 1 AS size, xor(list_reduce({_BYTES.format(t="t")}, lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) AS text_crc32 FROM x, {_CRC_TABLE}),
+{quantiles},
+s0 AS (SELECT doc_id, size, text_crc32, {", ".join(f"coalesce(q{k}.cell, 0) AS c{k}" for k in range(dims))}, 0::BIGINT AS h, 0 AS e, 0 AS d FROM d {joins}),
+{planes}o AS (SELECT *, row_number() OVER (ORDER BY h, doc_id, text_crc32) - 1 AS place, count(*) OVER () AS n FROM s{BITS}),
+r AS (SELECT *, (place * {SHARDS}) // n AS shard FROM o)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (place - (shard * n + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, h AS hilbert FROM r
+"""
+
+
 def _quality() -> str:
     """Text statistics, counts on labelled rows, sites and scores, one common table each."""
     gaps = r"[\x20\x09-\x0D]+"
@@ -105,6 +139,7 @@ SELECT doc_id, held_out, round(evidence, 6) AS evidence, CASE WHEN source IS NUL
 
 
 SQL = {
+    "op1_hilbert_shards": _hilbert(),
     "op3_quality_bayes": _quality(),
     "op7_lsh_forest": OP7,
     "op8_exact_dedup": OP8,
