@@ -577,10 +577,30 @@ def relation_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     return entities.rewrite_relations(relations, canonical)
 
 
-@query()
+#: Part names, in plural, in capitals, with a comma.
+_PRODUCT = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || 's' WHEN 2 THEN upper(p_name) ELSE replace(p_name, ' ', ', ') END"
+
+
+@query(
+    rf"""
+WITH RECURSIVE t AS (SELECT {_PRODUCT} AS text, count(*) AS frequency, list_sort(list_distinct(regexp_extract_all(lower({_PRODUCT}), '\w+'))) AS w FROM part GROUP BY 1, 3),
+p AS (SELECT l.text AS a, r.text AS b, list_filter(l.w, lambda x: list_contains(r.w, x)) AS bo, list_filter(l.w, lambda x: NOT list_contains(r.w, x)) AS lo, list_filter(r.w, lambda x: NOT list_contains(l.w, x)) AS ro
+  FROM t l JOIN t r ON substr(lower(l.text), 1, 3) = substr(lower(r.text), 1, 3) AND l.text < r.text),
+s AS (SELECT a, b, array_to_string(bo, ' ') AS x0, array_to_string(list_concat(bo, lo), ' ') AS x1, array_to_string(list_concat(bo, ro), ' ') AS x2 FROM p),
+q AS (SELECT a, b, x1 AS x, x2 AS y FROM s UNION SELECT a, b, x0, x1 FROM s WHERE x0 <> '' UNION SELECT a, b, x0, x2 FROM s WHERE x0 <> ''),
+d AS (SELECT a, b, x, y, 0::BIGINT AS i, list_transform(range(0, length(y) + 1), lambda j: 0::BIGINT) AS cells FROM q
+  UNION ALL
+  SELECT a, b, x, y, i + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k = 1 THEN 0 ELSE greatest(cells[k], cells[k - 1] + CASE WHEN y[k - 1] = x[i + 1] THEN 1 ELSE 0 END) END))) FROM d WHERE i < length(x)),
+l AS (SELECT a, b FROM d WHERE i = length(x) GROUP BY a, b HAVING max(200.0 * cells[length(y) + 1] / (length(x) + length(y))) >= CASE WHEN length(a) <= 6 OR length(b) <= 6 THEN 92 ELSE 88 END),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+g AS (SELECT text, text AS root FROM t UNION SELECT e.a, g.root FROM g JOIN e ON g.text = e.b),
+m AS (SELECT g.text, g.root, row_number() OVER (PARTITION BY g.text ORDER BY r.frequency DESC, length(g.root) DESC, g.root) AS n FROM g JOIN t r ON r.text = g.root)
+SELECT 'PRODUCT' AS type, m.text, t.frequency, m.root AS canonical_text, sha256('PRODUCT|' || m.root) AS canonical_id FROM m JOIN t ON m.text = t.text WHERE n = 1
+"""
+)
 def entities_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names as products, merged."""
-    parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("text"), F.lit("PRODUCT").alias("type"))
+    """Part names in four spellings as products, merged."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.expr(_PRODUCT).alias("text"), F.lit("PRODUCT").alias("type"))
     return entities.canonical_entities(parts)
 
 
