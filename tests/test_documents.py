@@ -8,12 +8,13 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docflow.functions import detect
 from docflow.functions import text as text_fns
-from docflow.operators import chunking, context, correct, entities, jobs, layout, office, packing, pdf
+from docflow.operators import chunking, components, context, correct, entities, jobs, layout, office, packing, pdf
 from docflow.plans import catalog
 from docflow.sources import ingest
 from docflow.streaming import ingest_stream
@@ -403,6 +404,52 @@ def test_corrections_of_words_of_any_length(spark):
     assert {len(w) > 24 for w in expected} == {True, False} and "x" in expected
 
 
+def least_reached(edges):
+    """node -> least node that edges reach, by hand."""
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("at_once", [components.AT_ONCE, 100, 0])
+def test_components_in_one_pass_and_in_rounds(spark, at_once):
+    rng = random.Random(3)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1150)] + [(2000 + k, 5000) for k in range(90)]
+    edges += [(7, 7), (None, 3), (4, None), (1001, 1000), (1000, 1001)]
+    rng.shuffle(edges)
+    found = [tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5), at_once=at_once).collect()]
+    assert len(found) == len({node for node, _ in found}) and dict(found) == least_reached(edges)
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 0])
+def test_forests_join_what_edges_join(monkeypatch, at_once):
+    """Parts of a partition that are given away early join the same nodes."""
+    monkeypatch.setattr(components, "_BATCH", 16)
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(-300, 300, 400), rng.integers(-300, 300, 400)
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[i : i + 10]), pa.array(b[i : i + 10])], names=["a", "b"]) for i in range(0, 400, 10)]
+    parts = list(components._forests(iter(batches), at_once))
+    assert len(parts) == 1 if at_once else len(parts) > 1
+    joined = least_reached([e for node, root in parts for e in zip(node.tolist(), root.tolist(), strict=True)])
+    assert joined == least_reached(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_components_of_a_small_table_take_few_jobs(spark):
+    """Each round of stars is ten jobs or so; their records fill the driver where there are many partitions."""
+    context = spark.sparkContext
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    context.setJobGroup("few-jobs", "components of a chain")
+    try:
+        assert {r.root for r in components.components(edges).collect()} == {0}
+        assert len(context.statusTracker().getJobIdsForGroup("few-jobs")) <= 8
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_entities_merge_and_relations(spark):
     assert entities.token_set_ratio("John Smith", "Smith, John") == 100 and entities.token_set_ratio("abc", "xyz") < 50
     rows = [("1", "John Smith", "PERSON"), ("2", "Smith, John", "PERSON"), ("3", "John Smith", "PERSON"), ("4", "John A. Smith", "PERSON"), ("5", "Johnson", "PERSON"), ("6", "John Smith", "ORG")]
